@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables, and the same in SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
