@@ -2,11 +2,16 @@
 
 from sprachwerk.llm.decontaminate import OP8_SQL, op8_winnowing
 from sprachwerk.llm.packing import op6_packing
+from sprachwerk.llm.sharding import op1_kd_tree
+from sprachwerk.llm.topk import OP2_SQL, op2_pivot_topk
 
 QUERIES = {
+    "op1_kd_tree": op1_kd_tree,
+    "op2_pivot_topk": op2_pivot_topk,
     "op6_packing": op6_packing,
     "op8_winnowing": op8_winnowing,
 }
 ORACLES = {
+    "op2_pivot_topk": OP2_SQL,
     "op8_winnowing": OP8_SQL,
 }
