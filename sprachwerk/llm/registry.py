@@ -2,16 +2,20 @@
 
 from sprachwerk.llm.decontaminate import OP8_SQL, op8_winnowing
 from sprachwerk.llm.packing import op6_packing
+from sprachwerk.llm.quality import op4_quality
 from sprachwerk.llm.sharding import op1_kd_tree
 from sprachwerk.llm.simhash import op3_simhash
 from sprachwerk.llm.topk import OP2_SQL, op2_pivot_topk
+from sprachwerk.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_kd_tree": op1_kd_tree,
     "op2_pivot_topk": op2_pivot_topk,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op8_winnowing": op8_winnowing,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {
     "op2_pivot_topk": OP2_SQL,
