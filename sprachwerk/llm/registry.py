@@ -1,6 +1,7 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
 from sprachwerk.llm.decontaminate import OP8_SQL, op8_winnowing
+from sprachwerk.llm.materialise import op10_training_order
 from sprachwerk.llm.packing import op6_packing
 from sprachwerk.llm.quality import op4_quality
 from sprachwerk.llm.sharding import op1_kd_tree
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
+    "op10_training_order": op10_training_order,
 }
 ORACLES = {
     "op2_pivot_topk": OP2_SQL,
