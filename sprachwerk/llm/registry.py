@@ -1,6 +1,7 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
 from sprachwerk.llm.decontaminate import OP8_SQL, op8_winnowing
+from sprachwerk.llm.extract import op5_blocks
 from sprachwerk.llm.materialise import op10_training_order
 from sprachwerk.llm.packing import op6_packing
 from sprachwerk.llm.quality import op4_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_blocks": op5_blocks,
     "op6_packing": op6_packing,
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
