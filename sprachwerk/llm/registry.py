@@ -2,6 +2,7 @@
 
 from sprachwerk.llm.decontaminate import OP8_SQL, op8_winnowing
 from sprachwerk.llm.extract import op5_blocks
+from sprachwerk.llm.licences import op7_licences
 from sprachwerk.llm.materialise import op10_training_order
 from sprachwerk.llm.packing import op6_packing
 from sprachwerk.llm.quality import op4_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_blocks": op5_blocks,
     "op6_packing": op6_packing,
+    "op7_licences": op7_licences,
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_training_order": op10_training_order,
