@@ -30,7 +30,7 @@ TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _PLAIN = frozenset(
     "a all an and any appear are as at be but by can do even express for form forms found from general have held hope if in including is it its kind later law left limited list made may means met more must name names "
     "no nor not of on one only option or other part person persons provided public published purpose required shall should so source specific subject such than that the their these this those to under use used useful version "
-    "via was were whom will with without work works writing written you your program project file files free details particular following above also along along applicable law see copy copies binary text content available sell possible rights software library language either neither additional terms apply agreed basis obtain obtaining received granted hereby prior products derived associated author waived related example code anyone open has into v unless inc http https international merge deal except fee".split()
+    "via was were whom will with without work works writing written you your program project file files free details particular following above also along along applicable law see copy copies binary text content available sell possible rights software library language either neither additional terms apply agreed basis obtain obtaining received granted hereby prior products derived associated author waived related example code anyone open has into v unless inc http https international merge deal except fee mit".split()  # mit: German for `with`; each MIT wording has another telling word
 )
 
 
@@ -154,7 +154,7 @@ def _model_table(spark: SparkSession, m: Model) -> DataFrame:
 
 
 def scored_lines(lines: DataFrame, model: Model | None = None) -> DataFrame:
-    """lines(line) with family, probability and known, for distinct lines."""
+    """(key, family, probability, known) of distinct lines(key, line); key, not the line, goes through shuffles."""
     m = model or train()
     spark = lines.sparkSession
     tokens = F.regexp_extract_all(F.lower("line"), F.lit(f"({TOKEN})"), F.lit(1))
@@ -164,25 +164,25 @@ def scored_lines(lines: DataFrame, model: Model | None = None) -> DataFrame:
         return F.when(F.size("t") >= k, F.transform(at, lambda i: F.array_join(F.slice("t", i, k), " "))).otherwise(F.array().cast("array<string>"))
 
     # tokens as a table, else every lambda below would take the line apart again
-    cut = written(lines.select("line", tokens.alias("t")), "licence-tokens")
+    cut = written(lines.select("key", tokens.alias("t")), "licence-tokens")
     cut = cut.withColumn("grams", F.array_distinct(F.concat(runs_of(1), runs_of(2), runs_of(3)))).withColumn("n_pairs", F.size(F.array_distinct(runs_of(2))))
-    each = cut.select("line", "n_pairs", F.explode("grams").alias("gram")).join(F.broadcast(_model_table(spark, m)), "gram")
+    each = cut.select("key", "n_pairs", F.explode("grams").alias("gram")).join(F.broadcast(_model_table(spark, m)), "gram")
     start = F.element_at(F.array(*[F.lit(float(b)) for b in m.intercept]), F.col("c") + 1)
     heat = F.lit(m.temperature)
-    sums = each.groupBy("line", "n_pairs", "c").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
+    sums = each.groupBy("key", "n_pairs", "c").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
     sums = sums.withColumn("z", (F.col("w") + start) / heat).withColumn("z0", start / heat)
     # a class without an n-gram of the line has its intercept alone; that of `unknown` is the largest
     top = float(m.intercept[0]) / m.temperature
     rest = float(np.exp(m.intercept / m.temperature - top).sum())
-    whole = sums.groupBy("line", "n_pairs").agg(
+    whole = sums.groupBy("key", "n_pairs").agg(
         F.max(F.struct("z", (-F.col("c")).alias("nc"), "known")).alias("best"), F.sum(F.exp(F.col("z") - top)).alias("hit"), F.sum(F.exp(F.col("z0") - top)).alias("idle"), F.max(F.col("c") == 0).alias("has0")
     )
     alone = ~F.col("has0") & (F.col("best.z") < top)  # `unknown` without a word of its own wins
     total = F.col("hit") + F.lit(rest) - F.col("idle")
     c = F.when(alone, F.lit(0)).otherwise(-F.col("best.nc"))
-    out = whole.select("line", "n_pairs", c.alias("best_c"), (F.when(alone, F.lit(1.0)).otherwise(F.exp(F.col("best.z") - top)) / total).alias("probability"), F.col("best.known").alias("known"))
+    out = whole.select("key", "n_pairs", c.alias("best_c"), (F.when(alone, F.lit(1.0)).otherwise(F.exp(F.col("best.z") - top)) / total).alias("probability"), F.col("best.known").alias("known"))
     return out.select(
-        "line",
+        "key",
         F.element_at(F.array(*[F.lit(x) for x in m.classes]), F.col("best_c") + 1).alias("family"),
         "probability",
         F.when((F.col("best_c") > 0) & (F.col("n_pairs") > 0), F.col("known") / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("known"),
@@ -199,9 +199,9 @@ def scan(docs: DataFrame, model: Model | None = None, sure: float = SURE, confir
     m = model or train()
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line"))
     lines = lines.where(F.lower("line").rlike(r"(?<![a-z0-9])(?:" + _trie(m.telling) + r")(?![a-z0-9])"))
-    lines = written(lines, "licence-lines")
-    found = scored_lines(lines.select("line").distinct(), m).where((F.col("family") != UNKNOWN) & (F.col("probability") >= sure) & (F.col("known") >= confirmed))
-    return lines.join(found, "line").select("doc_id", "h", "line_no", "line", "family", "probability", "known").distinct()
+    lines = written(lines.withColumn("key", F.md5("line")), "licence-lines")
+    found = scored_lines(lines.groupBy("key").agg(F.first("line").alias("line")), m).where((F.col("family") != UNKNOWN) & (F.col("probability") >= sure) & (F.col("known") >= confirmed))
+    return lines.join(found, "key").select("doc_id", "h", "line_no", "line", "family", "probability", "known").distinct()
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sprachwerk.operators import tables
 
@@ -82,7 +83,7 @@ def _md5(term: Column, dimension: int) -> tuple[Column, Column]:
     return (value % dimension).cast("int"), F.when(F.shiftright(value, 8) % 2 == 1, 1.0).otherwise(-1.0)
 
 
-@F.arrow_udf("struct<bucket:bigint,sign:double>")
+@F.arrow_udf(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("sign", T.DoubleType())]))
 def _blake(x: pa.Array) -> pa.Array:
     values = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in x.to_pylist()]
     # the dimension is applied in the plan; 64 bits are folded to what a signed long can hold

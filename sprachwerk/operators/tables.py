@@ -5,13 +5,22 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sprachwerk.functions import text as tx
 from sprachwerk.operators import kernels
 
-SENTENCES = "array<struct<text:string,start:int,end:int>>"
-SECTIONS = "array<struct<ord:int,parent_ord:int,level:int,title:string,path:array<string>,content:string>>"
-CHUNKS = "array<struct<content:string,section:string,section_path:array<string>,absatz:string,paragraphs:int>>"
+
+
+def _rows(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+# as objects, not as text: workers import this module, and have no session to parse types with
+_S, _I, _L = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+SENTENCES = _rows(text=_S, start=_I, end=_I)
+SECTIONS = _rows(ord=_I, parent_ord=_I, level=_I, title=_S, path=_L, content=_S)
+CHUNKS = _rows(content=_S, section=_S, section_path=_L, absatz=_S, paragraphs=_I)
 
 _SPAN = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _SECTION = pa.list_(pa.struct([("ord", pa.int32()), ("parent_ord", pa.int32()), ("level", pa.int32()), ("title", pa.string()), ("path", pa.list_(pa.string())), ("content", pa.string())]))
@@ -32,12 +41,12 @@ def sections(x: pa.Array) -> pa.Array:
     return _each(x, kernels.sections, _SECTION)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(_L)
 def compound_parts(x: pa.Array) -> pa.Array:
     return _each(x, kernels.compound, pa.list_(pa.string()))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(_S)
 def _complete(x: pa.Array) -> pa.Array:
     return _each(x, kernels.complete, pa.string())
 
