@@ -362,14 +362,15 @@ def pseudonymize_corpus(spark, d):
     return joined.select(F.col("doc_id").alias("o_orderkey"), "pseudonym")
 
 
-@query("""WITH e AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber * 10 AS s, l_linenumber * 10 + 6 + (l_partkey % 9) AS t, l_quantity / 100.0 AS c FROM lineitem),
+@query("""WITH e AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber * 10 AS s, l_linenumber * 10 + 6 + min(l_partkey % 9) AS t FROM lineitem GROUP BY l_orderkey, l_linenumber),
 w AS (SELECT e.k, e.i FROM e JOIN e o ON e.k = o.k AND e.i <> o.i AND o.s < e.t AND e.s < o.t GROUP BY e.k, e.i)
 SELECT k AS l_orderkey, cast(count(*) AS BIGINT) AS n_free FROM e ANTI JOIN w USING (k, i) GROUP BY k""")
 def overlap_free_entities(spark, d):
     """Entities that meet no other survive resolution whatever their rank."""
     i, s = F.col("l_linenumber"), F.col("l_linenumber") * 10
-    e = F.struct(F.lit("X").alias("type"), i.cast("string").alias("text"), s.cast("int").alias("start"), (s + 6 + F.col("l_partkey") % 9).cast("int").alias("end"), (F.col("l_quantity") / 100.0).alias("confidence"), F.lit("regex").alias("source"), F.lit("r").alias("recognizer"))
-    rows = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(e).alias("e"))
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey") % 9).alias("long"), F.max("l_quantity").alias("sure"))
+    e = F.struct(F.lit("X").alias("type"), i.cast("string").alias("text"), s.cast("int").alias("start"), (s + 6 + F.col("long")).cast("int").alias("end"), (F.col("sure") / 100.0).alias("confidence"), F.lit("regex").alias("source"), F.lit("r").alias("recognizer"))
+    rows = lines.groupBy("l_orderkey").agg(F.collect_list(e).alias("e"))
     alone = lambda es, x: ~F.exists(es, lambda o: (o["text"] != x["text"]) & (o["start"] < x["end"]) & (x["start"] < o["end"]))
     rows = rows.withColumn("kept", pii.resolve(F.col("e")))
     n = F.size(F.filter("kept", lambda x: alone(F.col("e"), x)))
@@ -540,20 +541,20 @@ def rag_extractive(spark, d):
     return rag.ask(_index(spark, d), _questions(spark)).select("qid", "answer", "confidence", F.size("citations").alias("n_citations"))
 
 
-@query(f"{_BM25}, r AS ({_ranked('m', 20)}), w AS (SELECT DISTINCT qid, term FROM a), n AS (SELECT qid, count(*) AS n FROM w GROUP BY 1), c AS (SELECT r.qid, r.doc_id, r.rank, count(p.term) AS met FROM r JOIN w ON r.qid = w.qid LEFT JOIN p ON p.doc_id = r.doc_id AND p.term = w.term GROUP BY ALL), q(qid, question) AS (VALUES {', '.join(f'({q}, {chr(39)}{t}{chr(39)})' for q, t in QUESTIONS)}), s AS (SELECT qid, c.doc_id, c.rank AS prior, round(met / n + CASE WHEN contains(lower(text), question) THEN 0.5 ELSE 0 END, 6) AS score FROM c JOIN n USING (qid) JOIN q USING (qid) JOIN documents d ON d.doc_id = c.doc_id) SELECT qid, doc_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+@query(f"{_BM25}, r AS ({_ranked('m', 20)}), w AS (SELECT DISTINCT qid, term FROM a), n AS (SELECT qid, count(*) AS n FROM w GROUP BY 1), c AS (SELECT r.qid, r.doc_id, r.rank, count(p.term) AS met FROM r JOIN w ON r.qid = w.qid LEFT JOIN p ON p.doc_id = r.doc_id AND p.term = w.term GROUP BY ALL), q(qid, question) AS (VALUES {', '.join(f'({q}, {chr(39)}{t}{chr(39)})' for q, t in QUESTIONS)}), z AS (SELECT qid, c.doc_id, c.rank AS prior, round(met / n + CASE WHEN contains(lower(text), question) THEN 0.5 ELSE 0 END, 6) AS score FROM c JOIN n USING (qid) JOIN q USING (qid) JOIN documents d ON d.doc_id = c.doc_id) SELECT qid, doc_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior) AS INTEGER) AS rank FROM z QUALIFY rank <= 5")
 def rerank_lexical(spark, d):
     found = retrieve.top(_scored(spark, d), 20, "doc_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return retrieve.rerank_lexical(found, _questions(spark), 5, "text").select("qid", "doc_id", "score", "rank")
 
 
 # ---- evaluation, citations, store ----
-@query("""WITH r AS (SELECT l_orderkey AS qid, l_linenumber AS rank, l_partkey % 5 AS src FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH r AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank, l_partkey % 5 AS src FROM lineitem WHERE l_orderkey % 10 = 0),
 j AS (SELECT *, src IN (1, 2) AS rel FROM r), q AS (SELECT qid, min(CASE WHEN rel THEN rank END) AS first,
  count(DISTINCT CASE WHEN rel AND rank <= 5 THEN src END) AS h5, count(DISTINCT CASE WHEN rank <= 5 THEN src END) AS seen5, sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg5 FROM j GROUP BY 1)
 SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(h5 / 2.0), 6) AS recall_5, round(avg(CASE WHEN seen5 > 0 THEN h5 / seen5 ELSE 0 END), 6) AS precision_5, round(avg(cast(h5 > 0 AS DOUBLE)), 6) AS hit_rate_5,
  round(avg(dcg5 / (1 + 1 / log2(3))), 6) AS ndcg_5, cast(sum(cast(first IS NULL AS INTEGER)) AS BIGINT) AS unanswered FROM q""")
 def eval_metrics(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("identity"))
+    rows = _t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("qid"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("rank"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("identity"))
     qrels = rows.select("qid").distinct().select("qid", F.posexplode(F.array(F.lit("s1"), F.lit("s2"))).alias("ord", "source"))
     return evaluate.report(evaluate.per_question(rows, qrels, (5,)))
 
