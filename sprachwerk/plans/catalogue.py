@@ -190,7 +190,7 @@ def heading_lines(spark, d):
     return found.select("o_orderkey", "h.level", "h.title")
 
 
-@query(f"SELECT o_orderkey, array_to_string(list_filter(list_transform(string_split({_OUT}, chr(10)), lambda l: regexp_extract(l, '^(\\(\\d{{1,3}}[a-z]?\\))', 1)), lambda m: m <> ''), ' ') AS marks FROM orders")
+@query(f"SELECT o_orderkey, ' ' || array_to_string(list_filter(list_transform(string_split({_OUT}, chr(10)), lambda l: regexp_extract(l, '^(\\(\\d{{1,3}}[a-z]?\\))', 1)), lambda m: m <> ''), ' ') AS marks FROM orders")
 def absatz_markers(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.array_join(structure.markers(_outline(F.col("o_orderkey").cast("string"))), " ").alias("marks"))
 
