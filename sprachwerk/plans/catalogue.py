@@ -41,8 +41,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents")
 
 
-T = F.col("text")
-
 # ---- normal forms ----
 _UNI = "replace(replace(replace(replace(replace(replace(replace(translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(160) || chr(8239) || chr(8201) || chr(8202) || chr(8203) || chr(173) || chr(65279), '    '), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'Ĳ', 'IJ'), 'ĳ', 'ij')"
 
@@ -69,17 +67,17 @@ def _search(x: str = _UNI) -> str:
 
 @query(f"SELECT doc_id, md5({_UNI}) AS h FROM documents")
 def norm_unicode(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.unicode_form(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.unicode_form(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT doc_id, md5({_ws('text')}) AS h FROM documents")
 def norm_whitespace(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.whitespace(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.whitespace(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT doc_id, md5({_dash('text')}) AS h FROM documents")
 def norm_dashes(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.dashes(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.dashes(F.col("text"))).alias("h"))
 
 
 _QUOTED = "replace(replace(text, 'the ', chr(34) || 'the '), ' de', chr(187) || ' de')"
@@ -87,23 +85,23 @@ _QUOTED = "replace(replace(text, 'the ', chr(34) || 'the '), ' de', chr(187) ||
 
 @query(f"SELECT doc_id, md5({_quo(_QUOTED)}) AS h FROM documents")
 def norm_quotes(spark, d):
-    marked = F.replace(F.replace(T, F.lit("the "), F.lit('"the ')), F.lit(" de"), F.lit("» de"))
+    marked = F.replace(F.replace(F.col("text"), F.lit("the "), F.lit('"the ')), F.lit(" de"), F.lit("» de"))
     return _docs(spark, d).select("doc_id", F.md5(tx.quotes(marked)).alias("h"))
 
 
 @query(f"SELECT doc_id, md5(lower({_uml('text')})) AS h FROM documents")
 def fold_key(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.fold(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.fold(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT doc_id, md5({_search()}) AS h FROM documents")
 def norm_search_basic(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.search_form(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.search_form(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT doc_id, md5({_ws(_quo(_dash(_UNI)))}) AS h FROM documents")
 def norm_display(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(tx.display_form(T)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.display_form(F.col("text"))).alias("h"))
 
 
 # ---- tokens ----
@@ -112,13 +110,13 @@ _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-–][\p{L}\p{N}_]+)*')"
 
 @query(f"SELECT lang, cast(sum(len({_WORDS})) AS BIGINT) AS n_words, cast(max(len({_WORDS})) AS BIGINT) AS longest FROM documents GROUP BY lang")
 def word_counts_by_lang(spark, d):
-    n = F.size(tx.words(T))
+    n = F.size(tx.words(F.col("text")))
     return _docs(spark, d).select("lang", n.alias("n")).groupBy("lang").agg(F.sum("n").cast("long").alias("n_words"), F.max("n").cast("long").alias("longest"))
 
 
 @query("SELECT doc_id, cast(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END AS BIGINT) AS n_tokens FROM documents")
 def token_estimate(spark, d):
-    return _docs(spark, d).select("doc_id", tx.estimated_tokens(T).cast("long").alias("n_tokens"))
+    return _docs(spark, d).select("doc_id", tx.estimated_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
 _TERMS = f"SELECT doc_id, unnest(list_filter(string_split_regex({_search()}, '[ \n]'), lambda w: w <> '')) AS term FROM documents"
@@ -127,7 +125,7 @@ _TERMS = f"SELECT doc_id, unnest(list_filter(string_split_regex({_search()}, '[
 @query(f"SELECT lang, term, n FROM (SELECT lang, term, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM ({_TERMS}) JOIN documents USING (doc_id) GROUP BY lang, term) WHERE r <= 20")
 def top_terms_by_lang(spark, d):
     docs = _docs(spark, d)
-    terms = docs.select("lang", F.explode(F.filter(F.split(tx.search_form(T), " |\n"), lambda w: w != "")).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = docs.select("lang", F.explode(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("lang").orderBy(F.desc("n"), "term")
     return terms.withColumn("r", F.row_number().over(by)).where("r <= 20").drop("r")
 
@@ -138,7 +136,7 @@ def _stem_sql(x: str) -> str:
 
 @query(f"SELECT stem, count(*) AS n FROM (SELECT {_stem_sql('term')} AS stem FROM ({_TERMS})) WHERE stem IS NOT NULL GROUP BY stem HAVING count(*) >= 20")
 def light_stem_counts(spark, d):
-    terms = _docs(spark, d).select(F.explode(F.filter(F.split(tx.search_form(T), " |\n"), lambda w: w != "")).alias("term"))
+    terms = _docs(spark, d).select(F.explode(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term"))
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # stems of distinct terms only
     return counted.select(tx.light_stem(F.col("term")).alias("stem"), "n").where("stem IS NOT NULL").groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 20")
 
@@ -169,7 +167,7 @@ _CF = "replace(lower(text), 'ß', 'ss')"
     SELECT doc_id, CASE WHEN n = 0 OR e < 3 THEN 'de' WHEN g < 3 THEN 'en' WHEN g / (g + e) BETWEEN 0.35 AND 0.65 THEN 'mixed' WHEN g / (g + e) > 0.5 THEN 'de' ELSE 'en' END AS detected FROM c"""
 )
 def detect_language(spark, d):
-    return _docs(spark, d).select("doc_id", language.detect(T).alias("detected"))
+    return _docs(spark, d).select("doc_id", language.detect(F.col("text")).alias("detected"))
 
 
 # ---- structure ----
@@ -197,7 +195,7 @@ def absatz_markers(spark, d):
 
 @query(r"SELECT doc_id, cast(len(list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda p: regexp_matches(p, '\S'))) AS BIGINT) AS n_paragraphs FROM documents")
 def paragraph_counts(spark, d):
-    return _docs(spark, d).select("doc_id", structure.paragraph_count(T).cast("long").alias("n_paragraphs"))
+    return _docs(spark, d).select("doc_id", structure.paragraph_count(F.col("text")).cast("long").alias("n_paragraphs"))
 
 
 @query()
@@ -231,7 +229,7 @@ _MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 
 @query()
 def email_entities(spark, d):
-    found = _docs(spark, d).select("doc_id", F.explode(pii.recognize(T, next(r for r in pii.RECOGNIZERS if r.name == "email"))).alias("e"))
+    found = _docs(spark, d).select("doc_id", F.explode(pii.recognize(F.col("text"), next(r for r in pii.RECOGNIZERS if r.name == "email"))).alias("e"))
     return found.select("doc_id", "e.text", "e.start", "e.end", "e.confidence")
 
 
@@ -424,7 +422,7 @@ def _classify_sql() -> str:
 def classify_docs(spark, d):
     k = F.col("doc_id") % 5
     more = F.when(k == 0, " rechnungsnummer nettobetrag").when(k == 1, " vertrag § 3 § 4 vertragsparteien").when(k == 2, " bericht ergebnis zusammenfassung").when(k == 3, " gesetz").otherwise(" sehr geehrte")
-    rows = _docs(spark, d).select("doc_id", cl.classify(F.concat(F.lower(T), more)).alias("c"))
+    rows = _docs(spark, d).select("doc_id", cl.classify(F.concat(F.lower(F.col("text")), more)).alias("c"))
     return rows.select("doc_id", "c.document_type", "c.confidence")
 
 
@@ -451,7 +449,7 @@ def style_long_words(spark, d):
     from sprachwerk.functions.regex import java
 
     p = next(p for rule, _, p in checks.STYLE if rule == "langes_wort")
-    return _docs(spark, d).select("doc_id", F.size(spans.find(T, java(p))).cast("long").alias("n"))
+    return _docs(spark, d).select("doc_id", F.size(spans.find(F.col("text"), java(p))).cast("long").alias("n"))
 
 
 @query()
