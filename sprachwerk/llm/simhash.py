@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,14 +54,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. A null text has no words and fingerprint 0."""
+    """(doc_id, row, fp): fp as a signed long, row as in row_key. A null text has no words and fingerprint 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            out = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return docs.select("doc_id", row_key().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, row long, fp long")
 
 
 def _entries(fps: DataFrame, distance: int) -> DataFrame:
@@ -182,6 +182,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _named(docs: DataFrame, distance: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of each row and (fp, root, component_id) of each fingerprint."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    root = components(links(nodes.select("fp"), distance))
+    nodes = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = written(nodes, "fingerprint-roots")
+    whole = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, written(nodes.join(whole, "root").select("fp", "root", "component_id"), "fingerprint-classes")
+
+
 def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
 
@@ -189,21 +200,28 @@ def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -
     are one shingle. Repeated rows are told each. A null doc_id is never a component's least unless it
     is alone. Other columns are left out; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    root = components(links(nodes.select("fp"), distance))
-    nodes = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = written(nodes, "fingerprint-roots")
-    whole = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(nodes.join(whole, "root").select("fp", "component_id"), "fingerprint-classes")
+    prints, named = _named(docs, distance, shingle)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key() -> Column:
+    """What tells rows of one doc_id apart: their text."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
+def one_per_class(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of docs for each class in rows(doc_id, row, class): that of the least doc_id, null ids last."""
+    least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s"))
+    kept = least.select(F.col("s.doc_id").alias("_sw_id"), F.col("s.row").alias("_sw_kept"))
+    keyed = docs.withColumn("_sw_row", row_key())
+    first = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_sw_id")) & (F.col("_sw_row") == F.col("_sw_kept")), "left_semi")
+    return first.dropDuplicates(["doc_id", "_sw_row"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each class: the one of the least doc_id, and one row of it."""
-    kept = classes(docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.join(kept.withColumnRenamed("doc_id", "_sw_id"), docs["doc_id"].eqNullSafe(F.col("_sw_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """docs with one row of each class, whatever ids its rows have: that of the least doc_id."""
+    prints, named = _named(docs, distance, SHINGLE)
+    return one_per_class(docs, prints.join(named, "fp").select("doc_id", "row", F.col("root").alias("class")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
