@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +80,45 @@ def vector_scores(questions: DataFrame, chunks: DataFrame, key: str = "chunk_id"
     return out.where(F.col("score") > 0) if positive else out
 
 
+def cosine_top(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", block: int = 2048) -> DataFrame:
+    """(qid, key, score, rank): the k best cosines of each vector where is_query holds, itself among them.
+
+    Both sides are dealt into blocks that meet pair by pair, and a pair of blocks returns k rows a query
+    at most. Vectors of different lengths do not meet; null vectors and those with a null or non-finite
+    component take no part. Scores are rounded before they are ranked; ties go to the smaller key.
+    """
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    own = vectors.where(good).select(key, F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("width"), is_query.alias("asks"), F.xxhash64(key, "embedding").alias("h"))
+    n, asking = own.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
+    q_blocks, x_blocks = max(1, -(-asking // block)), max(1, -(-n // block))
+    q = own.where("asks").select(F.lit(True).alias("asks"), key, "x", "width", F.pmod("h", F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))).alias("xb"))
+    x = own.select(F.lit(False).alias("asks"), key, "x", "width", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod("h", F.lit(x_blocks)).alias("xb"))
+    id_type = vectors.schema[key].dataType
+
+    def cell(rows: pa.Table) -> pa.Table:
+        asks, ids = rows["asks"].to_numpy(zero_copy_only=False).astype(bool), rows[key].combine_chunks()
+        e = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), rows["width"][0].as_py())
+        norm = np.sqrt((e * e).sum(1))
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        # candidates in the order of their keys, nulls last, so that a stable sort settles ties
+        others = others[pa.compute.array_sort_indices(ids.take(pa.array(others))).to_numpy()]
+        at_q, at_x, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in mine:
+            norms = norm[i] * norm[others]
+            s = np.divide(e[others] @ e[i], norms, out=np.zeros(len(others)), where=norms != 0)
+            s = np.copysign(np.floor(np.abs(s) * 10**ROUND + 0.5), s) / 10**ROUND
+            best = np.argsort(-s, kind="stable")[:k]
+            at_q.append(np.full(len(best), i))
+            at_x.append(others[best])
+            scores.append(s[best])
+        return pa.table({"qid": ids.take(pa.array(np.concatenate(at_q))), key: ids.take(pa.array(np.concatenate(at_x))), "score": np.concatenate(scores)})
+
+    schema = T.StructType([T.StructField("qid", id_type), T.StructField(key, id_type), T.StructField("score", T.DoubleType())])
+    found = q.unionByName(x).groupBy("width", "qb", "xb").applyInArrow(cell, schema)
+    by = W.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last(key))
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def _md5(term: Column, dimension: int) -> tuple[Column, Column]:
     value = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
     return (value % dimension).cast("int"), F.when(F.shiftright(value, 8) % 2 == 1, 1.0).otherwise(-1.0)
