@@ -35,6 +35,23 @@ STOPS = frozenset(
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form menu dialog button select header datalist object audio video canvas map".split())
+#: Elements whose end tag may be left out: the start tags that end them, and the elements at whose start or end they cannot go on.
+_P_ENDERS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_ROW_ENDERS = frozenset("td th tr tbody thead tfoot".split())
+_ENDED_BY = {
+    "p": _P_ENDERS,
+    "li": frozenset(["li"]),
+    "dt": frozenset(["dt", "dd"]),
+    "dd": frozenset(["dt", "dd"]),
+    "option": frozenset(["option", "optgroup"]),
+    "optgroup": frozenset(["optgroup"]),
+    "td": _ROW_ENDERS,
+    "th": _ROW_ENDERS,
+    "tr": frozenset("tr tbody thead tfoot".split()),
+    "tbody": frozenset(["tbody", "tfoot"]),
+    "thead": frozenset(["tbody", "tfoot"]),
+    "tfoot": frozenset(["tbody"]),
+}
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form tablist tooltip status".split())
 _NAMED = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|bread-?crumbs?|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|"
@@ -69,11 +86,22 @@ def _out(tag: str, attributes: str) -> bool:
     return own.get("role", "").lower() in _ROLES or any(_NAMED.search(own.get(k, "")) for k in ("class", "id"))
 
 
+def _ended(open_: list[str], tag: str) -> int:
+    """How many of the open elements go on when tag begins."""
+    on = len(open_)
+    for i in range(len(open_) - 1, -1, -1):
+        if tag in _ENDED_BY.get(open_[i], ()):
+            on = i
+        elif open_[i] == "table" or tag not in _ROW_ENDERS and open_[i] in BLOCKS and open_[i] not in ("address", "div", "p"):
+            break
+    return on
+
+
 def _blocks(page: str) -> list[tuple[str, Block]]:
     """(text, block) of each block outside excluded elements, in page order; empty ones are left out."""
     page = _RAW.sub(" ", page)
     found: list[Block] = []
-    skip: list[str] = []  # an excluded element and those of its name inside it
+    skip: list[str] = []  # an excluded element and the open ones inside it; where end tags are needed, those of its name alone
     inside = heading = link = 0
     in_header: list[str] = []
     block: Block | None = None
@@ -98,9 +126,22 @@ def _blocks(page: str) -> list[tuple[str, Block]]:
         close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
         if skip:
-            if tag == skip[0] and not attributes.rstrip().endswith("/"):
-                skip.pop() if close else skip.append(tag)
-            continue
+            if skip[0] not in _ENDED_BY:
+                if tag == skip[0] and not attributes.rstrip().endswith("/"):
+                    skip.pop() if close else skip.append(tag)
+                continue
+            if close and tag in skip:
+                del skip[len(skip) - 1 - skip[::-1].index(tag) :]
+                continue
+            if tag not in BLOCKS or close and tag == "p":
+                continue
+            ended = 0 if close else _ended(skip, tag)
+            if ended:
+                del skip[ended:]
+                if tag not in VOID and not attributes.rstrip().endswith("/"):
+                    skip.append(tag)
+                continue
+            skip.clear()  # a sibling begins, or an element around it ends: this tag counts as any other
         if tag == "br":
             text(" ")
             continue
@@ -141,6 +182,8 @@ def _blocks(page: str) -> list[tuple[str, Block]]:
 def _decide(blocks: list[tuple[str, Block]]) -> None:
     """First pass: what a block's own words tell. good stays None where they don't."""
     article = any(b.inside for _, b in blocks)
+    few: list[Block] = []
+    covered = False  # whether a block shows that the page's language is one of the list
     for t, b in blocks:
         links = b.linked / len(t)
         if links > LINKS:
@@ -155,9 +198,12 @@ def _decide(blocks: list[tuple[str, Block]]) -> None:
             if b.heading or len(t) < SHORT:
                 b.good = False if b.linked else None
             elif stops >= MANY_STOPS:
+                covered = True
                 b.good = True if len(t) > LONG else None
             elif stops < FEW_STOPS:
-                b.good = False
+                few.append(b)
+    for b in few:  # function words tell nothing in another language: there the length decides
+        b.good = not covered
     # second pass: blocks near the line first, bad only between bad ones; then the short ones
     near = [i for i, (t, b) in enumerate(blocks) if b.good is None and not b.heading and len(t) >= SHORT]
     _inherit(blocks, near, mixed=True)
