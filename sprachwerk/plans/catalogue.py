@@ -138,7 +138,7 @@ def _stem_sql(x: str) -> str:
 def light_stem_counts(spark, d):
     terms = _docs(spark, d).select(F.explode(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term"))
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # stems of distinct terms only
-    return counted.select(tx.light_stem(F.col("term")).alias("stem"), "n").where("stem IS NOT NULL").groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 20")
+    return counted.select(tx.light_stem(F.col("term")).alias("stem"), "n").where("stem IS NOT NULL").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def _stop_sql() -> str:
