@@ -3,7 +3,7 @@
 A table of 256 classes cuts a buffer into runs; a polynomial hash modulo 2**64, taken from one running
 sum, names each run; an open-addressing table turns names into small numbers. Work and memory are in
 proportion to the bytes at hand: `pieces` deals out about one MB at a time, and a longer text is cut
-at white space.
+after bytes of a class that its caller names, so nothing that the caller counts is ever cut in two.
 """
 
 from __future__ import annotations
@@ -112,10 +112,11 @@ def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null(b"") if column.null_count else column
 
 
-def pieces(column: pa.Array, most: int = 1 << 20, cut: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 20, cut: np.ndarray | None = SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row starts and the end) of rows of about `most` bytes together.
 
-    With cut, a row much longer than that comes alone, over and over, in parts that end at white space.
+    A row much longer than that comes alone, over and over, in parts that end with a byte of the class
+    `cut`; without such a byte a part goes on to the next, and without a class a row is never cut.
     """
     column = binary(column)
     n = len(column)
@@ -127,13 +128,13 @@ def pieces(column: pa.Array, most: int = 1 << 20, cut: bool = True) -> Iterator[
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
         end = min(end, n)
-        if cut and end == row + 1 and at[end] - at[row] > 4 * most:
+        if cut is not None and end == row + 1 and at[end] - at[row] > 4 * most:
             a, b = int(at[row]), int(at[end])
             while a < b:
                 c = min(a + most, b)
-                while c < b and not SPACE[data[c]]:
-                    look = np.flatnonzero(SPACE[data[c : c + 65536]])
-                    c = min(c + (int(look[0]) if len(look) else 65536), b)
+                while c < b and not cut[data[c - 1]]:
+                    look = np.flatnonzero(cut[data[c : min(c + 65536, b)]])
+                    c = min(c + (int(look[0]) + 1 if len(look) else 65536), b)
                 yield row, data[a:c], np.array([0, c - a])
                 a = c
         else:

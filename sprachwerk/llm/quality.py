@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sprachwerk.llm.bytewords import SPACE, hashes, pieces, runs
-from sprachwerk.llm.common import crc_mod, table
+from sprachwerk.llm.common import carried, crc_mod, table
 from sprachwerk.llm.labelled import SAMPLE, sample
 
 THRESHOLD = 0.3
@@ -32,23 +32,29 @@ _GROUPS[[ord(c) for c in "!?"], 4] = True
 _GROUPS[[ord(c) for c in "#$%&*+=<>@\\^_`{|}~/[]"], 5] = True  # symbols
 _GROUPS[128:, 6] = True
 _GROUPS[[10], 7] = True
+_LINE_END = _GROUPS[:, 7]
 
 FEATURES = ("log_bytes", "capitals", "small", "digits", "stops", "shouts", "symbols", "other_bytes", "line_ends", "word_bytes", "distinct_words", "symbol_words", "repeated_lines", "longest_word")
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """A row of FEATURES for each text; null and empty texts give zeros."""
+    """A row of FEATURES for each text; null and empty texts give zeros.
+
+    A very long text is read in parts that end where a line ends, so its features are those of the whole;
+    one that is a single line is held whole.
+    """
     n = len(column)
     counts, total = np.zeros((n, 8)), np.zeros(n)
     words, word_bytes, distinct, odd, longest = (np.zeros(n) for _ in range(5))
     lines, repeated = np.zeros(n), np.zeros(n)
-    seen_words: list[np.ndarray] = []
+    none = np.zeros(0, np.uint64)
+    seen_words = seen_lines = none
     group = _GROUPS.astype(np.float64)
     last = -1
-    for first, data, starts in pieces(column):
+    for first, data, starts in pieces(column, cut=_LINE_END):
         m = len(starts) - 1
         if first != last:  # parts of one very long text come one after another
-            seen_words, seen_lines = [], []
+            seen_words = seen_lines = none
         last = first
         own = slice(first, first + m)
         row = np.repeat(np.arange(m), np.diff(starts))
@@ -56,8 +62,6 @@ def features(column: pa.Array) -> np.ndarray:
         histogram = np.bincount(row * 256 + data, minlength=m * 256).reshape(m, 256)
         counts[own] += histogram @ group
         a, b = runs(~SPACE[data], starts)
-        if not len(a):
-            continue
         r = np.searchsorted(starts, a, side="right") - 1
         words[own] += np.bincount(r, minlength=m)
         word_bytes[own] += np.bincount(r, b - a, minlength=m)
@@ -65,16 +69,14 @@ def features(column: pa.Array) -> np.ndarray:
         symbol = _GROUPS[data, 5] | _GROUPS[data, 4]
         upto = np.concatenate([[0], np.cumsum(symbol)])
         odd[own] += np.bincount(r, upto[b] > upto[a], minlength=m)
-        names = hashes(data, a, b)
         la, lb = runs(data != 10, starts)
         lr = np.searchsorted(starts, la, side="right") - 1
-        line_names = hashes(data, la, lb)
         lines[own] += np.bincount(lr, minlength=m)
+        names, line_names = (hashes(data, x, y) if len(x) else np.zeros(0, np.uint64) for x, y in ((a, b), (la, lb)))
         if m == 1:
-            seen_words.append(np.unique(names))
-            seen_lines.append(np.unique(line_names))
-            distinct[first] = len(np.unique(np.concatenate(seen_words)))
-            repeated[first] = lines[first] - len(np.unique(np.concatenate(seen_lines)))
+            seen_words, seen_lines = np.union1d(seen_words, names), np.union1d(seen_lines, line_names)
+            distinct[first] = len(seen_words)
+            repeated[first] = lines[first] - len(seen_lines)
         else:
             distinct[own] = _distinct(r, names, m)
             repeated[own] = np.bincount(lr, minlength=m) - _distinct(lr, line_names, m)
@@ -187,7 +189,11 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse: int = 8, rounds: i
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """Fit on at most `limit` labelled rows outside the held-out fold."""
+    """Fit on at most `limit` labelled rows outside the held-out fold.
+
+    Rows without an id or a 0/1 label teach nothing. Equal texts are one example, of label 1 if any of
+    them has it. Without labels, or with only one of them, the model is a constant share.
+    """
     rows = sample(docs, labels, "quality", crc_mod(F.col("doc_id"), HELD_OUT) != 0, limit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, out: str = "quality_score") -> DataFrame:
-    """docs with a double column `out` from 0 to 1. Null texts score as empty ones; a column of that name is replaced."""
+    """docs with a double column `out` from 0 to 1, the same for equal texts.
+
+    Null texts score as empty ones. Repeated rows are each scored; an empty table gives no rows. A column
+    of that name is replaced, other columns stay, whatever their names. Score and label are told apart by
+    the threshold alone: a score equal to it counts as reached.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out]
 
@@ -212,11 +223,12 @@ def score(docs: DataFrame, model: Model, out: str = "quality_score") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(features(column)))], names=[*kept, out])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.DoubleType())])
-    return docs.select(*kept, F.col("text").cast("binary").alias("_sw_text")).mapInArrow(add, schema)
+    return docs.select(*carried(kept), F.col("text").cast("binary").alias("_sw_text")).mapInArrow(add, schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt outside the held-out fold; a null doc_id is in no fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     found = score(docs, model, "score")
-    return found.select("doc_id", (crc_mod(F.col("doc_id"), HELD_OUT) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: labels name documents, the model finds the sentences.
 
 A sentence's score is a logistic function of its words; a document is toxic unless every sentence and
-a small leak, which stands for labels given without reason in the text, fail to make it so (noisy-or).
-Both are trained together from document labels. Words are screened first by counts over the whole
+a small leak fail to make it so (noisy-or). The leak stands for labels without a reason in the text: in
+training it keeps such labels from lifting innocent words, and as it says nothing of a text, no score
+holds it. Both are trained together from document labels. Words are screened first by counts over the whole
 labelled sample; only counts and the few screened words of each sentence reach the driver.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sprachwerk.llm.bytewords import LOWER, Numbers, hashes, pieces, runs
-from sprachwerk.llm.common import crc_mod, discard, table, written
+from sprachwerk.llm.common import carried, crc_mod, discard, table, written
 from sprachwerk.llm.labelled import SAMPLE, sample
 
 THRESHOLD = 0.3
@@ -37,8 +38,8 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row starts, word starts, names) in pieces."""
-    for first, data, starts in pieces(column):
+    """(first row, bytes, row starts, word starts, names) in pieces; a long text is cut where sentences end, never inside one."""
+    for first, data, starts in pieces(column, cut=_STOP):
         low = LOWER[data]
         a, b = runs(_KEEP[low], starts)
         yield first, data, starts, a, hashes(low, a, b) if len(a) else np.zeros(0, np.uint64)
@@ -142,7 +143,11 @@ def fit(row: np.ndarray, words: np.ndarray, y: np.ndarray, prior: np.ndarray, ro
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """Fit on at most `limit` labelled rows outside the held-out fold. Without both labels every score is 0."""
+    """Fit on at most `limit` labelled rows outside the held-out fold. Without both labels every score is 0.
+
+    Rows without an id or a 0/1 label teach nothing. Equal texts are one example, of label 1 if any of
+    them has it.
+    """
     rows = written(sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), HELD_OUT) != REST, limit), "toxic-sample")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     none = np.zeros(0)
@@ -191,8 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, out: str = "toxicity", least: float = THRESHOLD) -> DataFrame:
     """docs with struct `out`: score, and the sentences that score at least `least` as (text, score), in order.
 
-    Null and empty texts score 0. Sentences end at . ! ? and line ends; one is told in whole. A column
-    of that name is replaced. Nothing else of a document but its text has any influence.
+    Null and empty texts score 0. Sentences end at . ! ? and line ends, however long the text; one is
+    told in whole. Repeated rows are each scored; an empty table gives no rows. A column of that name is
+    replaced, other columns stay, whatever their names. Nothing of a document but its text has any
+    influence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out]
@@ -211,11 +218,12 @@ def score(docs: DataFrame, model: Model, out: str = "toxicity", least: float = T
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, struct)], names=[*kept, out])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T._parse_datatype_string("struct<score:double,sentences:array<struct<text:string,score:double>>>"))])
-    return docs.select(*kept, F.col("text").cast("binary").alias("_sw_text")).mapInArrow(add, schema)
+    return docs.select(*carried(kept), F.col("text").cast("binary").alias("_sw_text")).mapInArrow(add, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt outside the held-out fold; a null doc_id is in no fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     found = score(docs.select("doc_id", "text"), model, "found").select("doc_id", F.col("found.score").alias("score"))
-    return found.select("doc_id", (crc_mod(F.col("doc_id"), HELD_OUT) == REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT) == REST, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
