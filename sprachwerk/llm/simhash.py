@@ -1,15 +1,17 @@
 """SimHash near-duplicates by an inverted index over byte positions, with count filtering.
 
-Two 64-bit fingerprints that differ in at most `distance` bits agree in at least 8 - distance whole
-bytes. Tallying shared (position, byte) entries pair by pair would cost the square of every posting
-list, so the index holds each choice of that many positions as one entry: sharing one entry is the
-same as a tally that reaches the minimum, and entries of 40 bits have short lists. Members of a list
-are compared bit by bit. What leaves a list is a spanning forest of its links, never all pairs: links
-are only needed for components. A list beyond LIST rows is cut into parts that meet two by two, each
-pair of parts in its own task.
-
-Copies of a fingerprint are one node. Components come from alternating large-star and small-star
-rounds over written tables.
+Two 64-bit fingerprints that differ in at most `distance` bits agree in at least 8 - distance of their 8
+bytes, the guaranteed minimum. A posting list holds the fingerprints that have the same bytes at a few
+positions; the position sets are chosen so that any two fingerprints which reach the minimum share a list
+(of five equal positions, three lie in one half of the eight). In a list, the positional bytes that a
+pair shares are tallied over all eight positions, pairs that reach the minimum are retained, and these
+are verified bit by bit. Lists of one position each would hold 1/256 of all rows: their tallies grow with
+the square of the corpus, so no position stands alone.
+
+What leaves a list is a spanning forest of its links, never all pairs: links are only needed for
+components. A list beyond LIST rows is cut by a hash into parts that meet two by two, each pair of parts
+in its own task. Copies of a fingerprint are one node. Components come from alternating large-star and
+small-star rounds over written tables.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sprachwerk.llm.common import discard, table, written
+from sprachwerk.llm.common import columns, discard, join_hot, table, written
 
 SHINGLE = 3
 DISTANCE = 3
 #: Rows of a posting list that one task compares with each other.
 LIST = 2048
+#: Up to so many fingerprints, lists of the shortest position sets are short enough; beyond, the minimum itself is one set.
+SHORT_SETS = 1 << 30
 SEED = 42
 
 
@@ -64,16 +68,43 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", row_key().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, row long, fp long")
 
 
-def _entries(fps: DataFrame, distance: int) -> DataFrame:
-    """(key, fp) for each choice of 8 - distance byte positions."""
+def position_sets(distance: int, shortest: bool = True) -> list[tuple[int, ...]]:
+    """Sets of byte positions, of which any two fingerprints within `distance` agree on one at least."""
+    least = 8 - distance
+    if not shortest:
+        return list(combinations(range(8), least))
+    half = -(-least // 2)  # of `least` equal positions, so many are in one half
+    return [*combinations(range(4), half), *combinations(range(4, 8), half)]
+
+
+def _entries(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp): fp in the posting list of its bytes at each set of positions."""
     masks = []
-    for positions in combinations(range(8), 8 - distance):
+    for positions in sets:
         mask = sum(255 << (8 * p) for p in positions)
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     return fps.select("fp", F.explode(keys).alias("key"))
 
 
+def cells(listed: DataFrame, key: str, most: int, node: str, salts: int = 64) -> DataFrame:
+    """listed with `cell`: all rows of one key, or of two parts of a key with more than `most` rows.
+
+    A long list is counted before it is shuffled, and its rows learn of its length by a salted join, so no
+    task ever holds it. Each row goes to as many cells as its list has parts.
+    """
+    salt = F.pmod(F.xxhash64(node, F.lit(7)), F.lit(salts)).cast("int")
+    long = listed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    long = long.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / most).cast("int").alias("_parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    met = listed.withColumn("_own", salt)
+    met = met.join(long, (met[key] == long["_key"]) & (met["_own"] == long["_salt"]), "left")
+    parts = F.coalesce("_parts", F.lit(1))
+    part = F.pmod(F.xxhash64(node), parts).cast("int")
+    met = met.select(*columns(listed.columns), part.alias("_part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other"), parts.alias("_of"))
+    cell = F.when(F.col("_of") == 1, F.col(key)).otherwise(F.xxhash64(key, F.greatest("_part", "_other"), F.least("_part", "_other")))
+    return met.withColumn("cell", cell).drop("_part", "_other", "_of")
+
+
 def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The least node reachable from each of n nodes by the links u-v."""
     label = np.arange(n)
@@ -90,8 +121,24 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
+_ONES = np.uint64(0x0101010101010101)
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of each pair: positions at which both have the same byte."""
+    x = (a ^ b).view(np.uint64)
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - np.bitwise_count(x & _ONES)
+
+
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= distance
+    """Which pairs reach the minimum of shared bytes and, of those, differ in `distance` bits at most."""
+    out = shared_bytes(a, b) >= 8 - distance
+    held = np.flatnonzero(out)
+    out[held] = np.bitwise_count((a[held] ^ b[held]).view(np.uint64)) <= distance
+    return out
 
 
 def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +167,10 @@ def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
     return fp[own], fp[label[own]]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, list_rows: int = LIST) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, list_rows: int = LIST, short_sets: int = SHORT_SETS) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints whose closure is that of all links."""
-    listed = _entries(fps, distance)
-    by = W.partitionBy("key")
-    listed = listed.withColumn("c", F.count(F.lit(1)).over(by)).where("c > 1").withColumn("r", F.row_number().over(by.orderBy("fp")) - 1)
-    part = F.floor(F.col("r") / list_rows).cast("int")
-    parts = F.ceil(F.col("c") / list_rows).cast("int")
-    # part i meets part j <= i: a row is sent to as many cells as its list has parts
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    cells = listed.select("key", "fp", part.alias("part"), other.alias("other"))
-    cells = cells.select(F.when(F.col("part") + F.col("other") == 0, F.col("key")).otherwise(F.xxhash64("key", F.greatest("part", "other"), F.least("part", "other"))).alias("cell"), "fp")
+    listed = _entries(fps, position_sets(distance, fps.count() <= short_sets))
+    dealt = cells(listed, "key", list_rows, "fp").select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -153,7 +193,6 @@ def links(fps: DataFrame, distance: int = DISTANCE, list_rows: int = LIST) -> Da
         if rest is not None and len(rest[0]):
             yield told(*rest)
 
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "fp")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
@@ -165,11 +204,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # large star: every neighbour above a node goes to the least of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
         # small star: every neighbour below a node, and the node, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = join_hot(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small = written(small, "small-star")
         discard(edges, large)
         edges = small
@@ -187,21 +226,24 @@ def _named(docs: DataFrame, distance: int, shingle: int) -> tuple[DataFrame, Dat
     prints = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     root = components(links(nodes.select("fp"), distance))
-    nodes = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = written(nodes, "fingerprint-roots")
-    whole = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints, written(nodes.join(whole, "root").select("fp", "root", "component_id"), "fingerprint-classes")
+    rooted = written(nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    discard(nodes)
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(join_hot(rooted, whole, ["root"]).select("fp", "root", "component_id"), "fingerprint-classes")
+    discard(rooted)
+    return prints, classes
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Texts of one or two words
-    are one shingle. Repeated rows are told each. A null doc_id is never a component's least unless it
-    is alone. Other columns are left out; an empty table gives no rows.
+    are one shingle; a very long text is held as one at a time, with eight bytes a shingle. A bit that is
+    set in exactly half of the shingles is 0. Repeated rows are told each. A null doc_id is never a
+    component's least unless it is alone. Other columns are left out; an empty table gives no rows.
     """
     prints, named = _named(docs, distance, shingle)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def row_key() -> Column:
@@ -210,20 +252,23 @@ def row_key() -> Column:
 
 
 def one_per_class(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of docs for each class in rows(doc_id, row, class): that of the least doc_id, null ids last."""
+    """One row of docs for each class in rows(doc_id, row, class): that of the least doc_id, null ids last.
+
+    Of rows that share that doc_id and their text one stays, whichever their other columns.
+    """
     least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s"))
-    kept = least.select(F.col("s.doc_id").alias("_sw_id"), F.col("s.row").alias("_sw_kept"))
-    keyed = docs.withColumn("_sw_row", row_key())
-    first = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_sw_id")) & (F.col("_sw_row") == F.col("_sw_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id", "_sw_row"]).select(*docs.columns)
+    kept = least.select(F.col("s.doc_id").alias("doc_id"), F.col("s.row").alias("_sw_row"))
+    first = join_hot(docs.withColumn("_sw_row", row_key()), kept, ["doc_id", "_sw_row"], "left_semi")
+    return first.dropDuplicates(["doc_id", "_sw_row"]).select(*columns(docs.columns))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each class, whatever ids its rows have: that of the least doc_id."""
     prints, named = _named(docs, distance, SHINGLE)
-    return one_per_class(docs, prints.join(named, "fp").select("doc_id", "row", F.col("root").alias("class")))
+    return one_per_class(docs, join_hot(prints, named, ["fp"]).select("doc_id", "row", F.col("root").alias("class")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint as 16 hex digits and its component, over the whole table; edge cases as in `classes`."""
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
