@@ -12,13 +12,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sprachwerk.llm.common import table
+from sprachwerk.llm.common import carried, table
 
 #: Code points below which a block is short, and above which many function words decide it alone.
 SHORT, LONG = 70, 200
@@ -53,12 +54,27 @@ _ENDED_BY = {
     "tfoot": frozenset(["tbody"]),
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form tablist tooltip status".split())
-_NAMED = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|bread-?crumbs?|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|outbrain|pager|pagination|paywall|popup|promo\w*|recommended|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|taboola|teaser|toolbar|topbar|widget)(?:$|[-_ ]|\d)",
-    re.I,
+#: What a part of a page is called that is no article: alone, as the last word of a name, or before a word for a holder.
+_NAMES = frozenset(
+    "ad ads adbox adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login "
+    "masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup promo promos promotion recommended related replies reply respond share sharing sidebar signup social "
+    "sponsor sponsored sponsors subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_HOLDERS = frozenset("area bar block blocks body bottom box button buttons container content form group holder inner item items left link links list message outer overlay panel posts right row section slot text thread title top unit wrap wrapper".split())
+#: Words that only say whether such a part is there, and what an article's own header is called after.
+_TELLING = frozenset("disabled enabled has hide hidden is no not off on open show toggle with without".split())
+_OWN_HEADER = frozenset("article content entry headline news page post section story title".split())
+_WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(script|style)\b(?:[^>]*[^>/])?>.*?(?:</\1\s*>|\Z)"
+    # these are taken out with what they hold only if they end
+    r"|<(noscript|template|svg|iframe|textarea|title|noframes|xmp|annotation|annotation-xml)\b(?:[^>]*[^>/])?>.*?</\2\s*>"
+    r"|<[!?][^>]*>",
+    re.I | re.S,
+)
+_PAGE_PARTS = re.compile(r"<(?:article|main|h1)\b|</form\s*>", re.I)
+_INLINE = frozenset("a abbr b cite code em i kbd q s samp small span strong sub sup u var".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,7 +90,18 @@ class Block:
         self.good: bool | None = None
 
 
-def _out(tag: str, attributes: str) -> bool:
+@lru_cache(1 << 16)
+def _named_out(name: str, inside: bool) -> bool:
+    """Whether a class or id names a part that is no article: site-footer does, with-sidebar and comments-enabled don't."""
+    words = [w.lower() for w in _WORDS_OF_NAME.findall(name)]
+    if not words or not _TELLING.isdisjoint(words):
+        return False
+    if words[-1] == "header" and (inside or words[0] in _OWN_HEADER):
+        return False
+    return words[-1] in _NAMES or "".join(words) in _NAMES or words[-1] in _HOLDERS and not _NAMES.isdisjoint(words[:-1])
+
+
+def _out(tag: str, attributes: str, inside: bool = False) -> bool:
     """Whether an element is no part of an article, by its tag or what it is called."""
     if tag in OUT:
         return True
@@ -83,7 +110,13 @@ def _out(tag: str, attributes: str) -> bool:
     own = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(attributes)}
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
-    return own.get("role", "").lower() in _ROLES or any(_NAMED.search(own.get(k, "")) for k in ("class", "id"))
+    return own.get("role", "").lower() in _ROLES or any(_named_out(name, inside) for k in ("class", "id") for name in own.get(k, "").split())
+
+
+def _page_form(page: str, at: int) -> bool:
+    """Whether the form that begins before `at` holds an article or a headline, as where one form is a whole page."""
+    first = _PAGE_PARTS.search(page, at)
+    return first is not None and first[0][1] != "/"
 
 
 def _ended(open_: list[str], tag: str) -> int:
@@ -125,6 +158,9 @@ def _blocks(page: str) -> list[tuple[str, Block]]:
         at = m.end()
         close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
+        if attributes and not close and tag in _INLINE and "=" not in attributes and attributes.strip(" /") and not skip and tag != "a":
+            text(m[0])  # as in `if a <b and c> d`: no such element has attributes without a value
+            continue
         if skip:
             if skip[0] not in _ENDED_BY:
                 if tag == skip[0] and not attributes.rstrip().endswith("/"):
@@ -157,7 +193,7 @@ def _blocks(page: str) -> list[tuple[str, Block]]:
             elif in_header and tag == "header":
                 in_header.pop()
             continue
-        if tag not in VOID and not (tag == "header" and inside) and _out(tag, attributes):
+        if tag not in VOID and not (tag == "header" and inside) and not (tag == "form" and _page_form(page, at)) and _out(tag, attributes, inside > 0):
             if not attributes.rstrip().endswith("/"):
                 skip.append(tag)
             block = None if tag in BLOCKS else block
@@ -243,7 +279,11 @@ def _inherit(blocks: list[tuple[str, Block]], open_: list[int], mixed: bool | No
 
 
 def main_text(page: str) -> str:
-    """The article of a page: its blocks joined by line ends, empty if there is none."""
+    """The article of a page: its blocks joined by line ends, empty if there is none.
+
+    Markup that never ends costs nothing but itself, scripts and styles apart, which go to the end. A page
+    is held whole, however long; equal pages give equal texts.
+    """
     blocks = _blocks(page)
     _decide(blocks)
     return "\n".join(t for t, b in blocks if b.good)
@@ -253,7 +293,8 @@ def extract(pages: DataFrame, out: str = "text") -> DataFrame:
     """pages(html, …) with string column `out`, the main text of the whole html.
 
     Null and empty html give the empty text; bytes that are no UTF-8 are replaced. Repeated rows each
-    get theirs. A column that is already called `out` is replaced. An empty table gives no rows.
+    get theirs. A column that is already called `out` is replaced, other columns stay, whatever their
+    names. An empty table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (out, "html")]
 
@@ -263,9 +304,10 @@ def extract(pages: DataFrame, out: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())])
-    return pages.select(*kept, F.col("html").cast("binary").alias("_sw_html")).mapInArrow(run, schema)
+    return pages.select(*carried(kept), F.col("html").cast("binary").alias("_sw_html")).mapInArrow(run, schema)
 
 
 def op5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its length in code points, over the whole table; edge cases as in `extract`."""
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
