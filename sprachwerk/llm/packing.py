@@ -1,9 +1,11 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 A document longer than a sequence is cut into full sequences and a rest; only rests and short
-documents compete for bins. They are dealt by a hash into groups of about `group_rows` documents, and
-each group is packed by itself, so no task sees more than one group at a time and groups never depend
-on how the input is split. Each group's largest waste is its last few bins.
+documents compete for bins. Pieces are dealt by a hash into groups of about `group_rows`, and each group
+is packed by itself, so no task sees more than one group at a time and groups never depend on how the
+input is split. Equal pieces, as of many equal rows, are counted first and dealt in parcels of
+EQUAL_PIECES, each by a hash of its own, so no id or text can fill a group. Each group's largest waste is
+its last few bins.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprachwerk.llm.common import table
+from sprachwerk.llm.common import chunked, table, written
 from sprachwerk.llm.tokenize import default_vocabulary, word_ids
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-GROUP_ROWS = 1024
+GROUP_ROWS = 4096
+#: Equal pieces that go to one group together.
+EQUAL_PIECES = 64
 #: A group has fewer sequences than this, so group * SEQUENCES + sequence never clashes.
 SEQUENCES = 1 << 32
 
@@ -82,23 +86,27 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence_tokens: int =
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Null and empty texts are documents of the end id alone. Repeated rows are packed as often as they
-    come; rows with a null doc_id too. Ties in size go by (doc_id, start). Other columns are left out.
-    An empty table gives no rows. Sequence ids are unique, not gapless.
+    come; rows with a null doc_id too, however many. A very long text is as many full sequences as it
+    fills and a rest; its ids are held at once. Ties in size go by (doc_id, start, ids_crc32). Other
+    columns are left out. An empty table gives no rows. Sequence ids are unique, not gapless.
     """
-    groups = max(1, -(-docs.count() // group_rows))
-    pieces = tokenized_pieces(docs, vocabulary or default_vocabulary(), sequence_tokens)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("long"))
+    pieces = written(tokenized_pieces(docs, vocabulary or default_vocabulary(), sequence_tokens), "pieces")
+    groups = max(1, -(-pieces.count() // group_rows))
+    dealt = chunked(pieces, EQUAL_PIECES)
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns, "_c"), F.lit(groups)).cast("long")).drop("_c")
     capacity = sequence_tokens
 
     def fill(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        group = group.sort_by([(c, "ascending") for c in PIECE.names])
+        group = group.take(np.repeat(np.arange(group.num_rows), group["_n"].to_numpy()))
         sizes = group["length"].to_numpy()
         bins, offsets = first_fit_decreasing(sizes, capacity)
         first = int(group["_group"][0].as_py()) * SEQUENCES
-        return group.drop_columns(["_group"]).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
+        return group.select(PIECE.names).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    return pieces.groupBy("_group").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4,096 tokens, over the whole table; edge cases as in `pack`."""
     return pack(table(spark, sf_dir, "documents"))
