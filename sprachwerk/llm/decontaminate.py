@@ -5,8 +5,9 @@ ten words that a text shares with an item share a kept hash. Kept hashes of text
 those of items, and each meeting is extended word by word to the longest equal span; spans of at least
 one window count. Items shorter than a window are joined by a hash of their whole length.
 
-The benchmark is read in blocks of a bounded size; a block's table of hashes goes to every executor.
-Texts are never shuffled. With more than one block, hit spans of the blocks are united by row.
+The benchmark is read in blocks of a bounded size; a block's table of hashes goes to every executor, and
+what it finds is written before the next block is read, so one broadcast is alive at a time. Texts are
+never shuffled: each block's pass adds its spans and items to the row that it has at hand.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sprachwerk.llm.bytewords import LOWER, Numbers, hashes, pieces, ragged, runs
-from sprachwerk.llm.common import table
+from sprachwerk.llm.common import carried, discard, named, table, written
 
 WINDOW = 10
 GRAM = 5
@@ -162,14 +164,26 @@ class Index:
             yield d_[long] - left[long], d_[long] + right[long], self.owner[q_[long]]
 
 
-def annotate(docs: DataFrame, index, out: str = "hits") -> DataFrame:
-    """docs with struct `out`: n_words, spans of hit words (united, in order), items found."""
-    from pyspark.sql import types as T
+HITS = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
-    fields = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
-    kept = [c for c in docs.columns if c not in (out, "_sw_text")]
-    source = docs.select(*kept, F.col("text").cast("binary").alias("_sw_text"))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T._parse_datatype_string(fields))])
+
+def _united(spans: list[dict]) -> list[dict]:
+    """Spans in order, those that meet or overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if out and out[-1]["end"] >= s["start"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
+
+
+def annotate(docs: DataFrame, index, out: str = "hits", before: str | None = None) -> DataFrame:
+    """docs with struct `out`: n_words, spans of hit words (united, in order), items found; with those of column `before` added."""
+    kept = [c for c in docs.columns if c not in (out, before)]
+    past = named(before) if before else F.lit(None).cast(HITS)
+    source = docs.select(*carried(kept), past.alias("_sw_past"), F.col("text").cast("binary").alias("_sw_text"))
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T._parse_datatype_string(HITS))])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     struct = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))])
 
@@ -178,7 +192,10 @@ def annotate(docs: DataFrame, index, out: str = "hits") -> DataFrame:
         for batch in batches:
             n_words, spans, items = hits_of(found_by, batch.column(batch.num_columns - 1))
             rows = [{"n_words": n, "spans": spans.get(r, []), "items": items.get(r, [])} for r, n in enumerate(n_words.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, struct)], names=[*kept, out])
+            for row, past in zip(rows, batch.column(batch.num_columns - 2).to_pylist() if before else (), strict=False):
+                row["spans"] = _united(past["spans"] + row["spans"])
+                row["items"] = sorted({*past["items"], *row["items"]})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, struct)], names=[*kept, out])
 
     return source.mapInArrow(scan, schema)
 
@@ -188,7 +205,7 @@ def hits_of(index: Index, column: pa.Array) -> tuple[np.ndarray, dict[int, list]
     n_words = np.zeros(len(column), np.int64)
     spans: dict[int, list] = {}
     items: dict[int, list] = {}
-    for first, data, starts in pieces(column, cut=False):
+    for first, data, starts in pieces(column, cut=None):
         data = LOWER[data]
         a, b = runs(_KEEP[data], starts)
         row = np.searchsorted(starts, a, side="right") - 1
@@ -240,30 +257,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "hits",
 
     A null or empty text has no words. An item of no words is never met; one of fewer than `window`
     words is met as a whole. Items with one id are one item; rows without an id or text are left out.
-    Repeated rows each get their result. A column that is already called `out` is replaced. A text is
-    held in memory as a whole, at about thirty times its size. Empty tables give empty or clean results.
+    Repeated rows each get their result. A column that is already called `out` is replaced, other columns
+    stay, whatever their names. A text is held in memory as a whole, at about thirty times its size. Empty
+    tables give empty or clean results.
     """
     spark = docs.sparkSession
-    tables = blocks(benchmark, window, min(GRAM, window), block_bytes)
-    first = next(tables)
-    result = annotate(docs, spark.sparkContext.broadcast(first), out)
-    for index in tables:
-        # each further block adds its spans and items; both sides are in order and united again
-        more = annotate(result.withColumnRenamed(out, "_sw_before"), spark.sparkContext.broadcast(index), "_sw_more")
-        spans = F.aggregate(
-            F.array_sort(F.concat("_sw_before.spans", "_sw_more.spans")),
-            F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-            lambda done, x: F.when(
-                (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-                F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(done, F.array(x))),
-        )
-        united = F.struct(F.col("_sw_before.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_union("_sw_before.items", "_sw_more.items")).alias("items"))
-        result = more.withColumn(out, united).drop("_sw_before", "_sw_more").select(*docs.columns, out) if out not in docs.columns else more.withColumn(out, united).drop("_sw_before", "_sw_more")
+    rows, result, shared = docs, None, None
+    for index in blocks(benchmark, window, min(GRAM, window), block_bytes):
+        if result is not None:  # the block before is done with: its rows are written, its broadcast is let go
+            told = written(result, "hits")
+            shared.destroy()
+            if rows is not docs:
+                discard(rows)
+            rows = told
+        shared = spark.sparkContext.broadcast(index)
+        result = annotate(rows, shared, out, out if result is not None else None)
     return result
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is also in the benchmark, over both whole tables; edge cases as in `find_contamination`."""
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(
