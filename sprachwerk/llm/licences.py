@@ -1,11 +1,14 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions alone on the main path.
 
-A logistic regression over one- to three-word n-grams is trained from public licence wordings and
-lines that only sound like one, cut and joined in many ways; its temperature is fitted on variants that
-training has not seen, so `unknown` has a calibrated share. Its weights are a small table. Lines
-without a telling word of the vocabulary can only be unknown and are never taken apart; each different
-line that is left is scored once, however many documents hold it, and a licence family stands only if
-the line's word pairs are those of that family's wordings.
+A logistic regression over one- to three-word n-grams is trained from public licence wordings and from
+sentences that only sound like one. A fifth of the wordings, whole, is kept from training to fit the
+temperature and the intercept of `unknown`; another fifth measures the result, see `held_out`; the
+weights in use are then learnt from all of them. The weights are a small table.
+
+A paragraph is looked at in windows of sixteen words, so a statement counts wherever it stands in a longer
+paragraph. A family stands only if the window also has three fifths of the word pairs of one of the
+family's templates. Windows are only built around anchors: words, chosen from the templates by a rule, of
+which every window that a template can confirm holds one, so no line is left out that could count.
 """
 
 from __future__ import annotations
@@ -14,113 +17,220 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sprachwerk.llm.common import table, written
-from sprachwerk.llm.licence_templates import FAMILIES, OTHER
+from sprachwerk.llm.common import join_hot, table, written
+from sprachwerk.llm.extract import STOPS
+from sprachwerk.llm.licence_templates import LEADS, NAMES, NO_NAMES, OTHER, TEXTS
 
 UNKNOWN = "unknown"
-#: Probability of a family, and share of a line's word pairs known to it, from which a line counts.
-SURE, CONFIRMED = 0.5, 0.5
+#: Words of a window and words from one to the next.
+WINDOW, STEP = 16, 8
+#: Probability of a family, and share of a template's word pairs, from which a window counts.
+SURE, CONFIRMED = 0.5, 0.6
 #: Weights below are left out of the table.
 PRUNED = 0.02
-TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-#: Words too common to make a line worth scoring by themselves.
-_PLAIN = frozenset(
-    "a all an and any appear are as at be but by can do even express for form forms found from general have held hope if in including is it its kind later law left limited list made may means met more must name names "
-    "no nor not of on one only option or other part person persons provided public published purpose required shall should so source specific subject such than that the their these this those to under use used useful version "
-    "via was were whom will with without work works writing written you your program project file files free details particular following above also along along applicable law see copy copies binary text content available sell possible rights software library language either neither additional terms apply agreed basis obtain obtaining received granted hereby prior products derived associated author waived related example code anyone open has into v unless inc http https international merge deal except fee mit".split()  # mit: German for `with`; each MIT wording has another telling word
-)
+TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
+_TOKEN = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
+TRAIN, CALIBRATE, TEST = 0, 1, 2
 
 
 def _tokens(line: str) -> list[str]:
-    return re.findall(TOKEN, line.lower())
+    return _TOKEN.findall(line.lower())
 
 
 def _grams(tokens: list[str], most: int = 3) -> set[str]:
     return {" ".join(tokens[i : i + k]) for k in range(1, most + 1) for i in range(len(tokens) - k + 1)}
 
 
-class Model:
-    """classes, n-gram weights as rows, intercepts, temperature, word pairs of each family."""
+def _windows(tokens: list[str]) -> list[list[str]]:
+    """Windows of a line: every STEP words one, the last at the end of the line."""
+    last = max(0, len(tokens) - WINDOW)
+    return [tokens[a : a + WINDOW] for a in sorted({*range(0, last + 1, STEP), last})]
+
 
-    def __init__(self, classes, vocabulary, weights, intercept, temperature, pairs, telling):
-        self.classes, self.vocabulary, self.weights, self.intercept, self.temperature, self.pairs, self.telling = classes, vocabulary, weights, intercept, temperature, pairs, telling
+def _share(k: int) -> int:
+    """Which share of the wordings the k-th of a kind belongs to."""
+    return (TRAIN, TRAIN, CALIBRATE, TRAIN, TEST)[k % 5]
 
 
-def _variants(line: str, seed: int) -> list[str]:
-    """A wording whole, in parts, and with other words after it; chosen by the seed alone."""
-    words = line.split()
-    n = len(words)
-    out = [line, f"{line} {OTHER[seed % len(OTHER)]}"] if n > 6 else [line, line.lower()]
-    if n > 12:  # as lines are broken in headers of files
-        out += [" ".join(words[a : a + 11]) for a in range(0, n - 5, 5)]
-        out += [" ".join(words[: 2 * n // 3]), " ".join(words[n // 3 :])]
+def _wordings() -> list[tuple[int, int, str]]:
+    """(share, class, wording) of every statement, text and other sentence; a lead is in one share with all its names."""
+    out = [(_share(k), 0, x) for k, x in enumerate(OTHER)]
+    for k, lead in enumerate(LEADS):
+        out += [(_share(k), 0, lead.format(x)) for x in NO_NAMES]
+        for c, family in enumerate(NAMES, 1):
+            out += [(_share(k), c, lead.format(x)) for x in NAMES[family] if lead != "{}" or len(_tokens(x)) > 1]
+    for c, family in enumerate(NAMES, 1):
+        out += [(_share(k + c), c, x) for k, x in enumerate(TEXTS.get(family, ()))]
     return out
 
 
-@lru_cache(1)
-def train(rounds: int = 120, rate: float = 0.1, l2: float = 2e-4) -> Model:
-    """The model; the same at every call, as it depends on the wordings alone."""
-    classes = [UNKNOWN, *FAMILIES]
-    rows = [(0, x) for x in OTHER] + [(0, f"{a} {b}") for a, b in zip(OTHER, OTHER[1:], strict=False)] + [(0, "")]
-    held = []
-    for c, family in enumerate(FAMILIES, 1):
-        for k, line in enumerate(FAMILIES[family]):
-            own = _variants(line, 7 * c + k)
-            rows += [(c, x) for x in own]
-            held.append((c, "Note: " + own[-1]))
-    held += [(0, " ".join(x.split()[2:])) for x in OTHER]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, x in rows for g in _grams(_tokens(x))}))}
-
-    def matrix(data):
-        x = np.zeros((len(data), len(vocabulary)))
-        for r, (_, line) in enumerate(data):
-            own = [vocabulary[g] for g in _grams(_tokens(line)) if g in vocabulary]
-            x[r, own] = 1
-        return x, np.eye(len(classes))[[c for c, _ in data]]
-
-    x, y = matrix(rows)
-    balance = (1 / (len(classes) * np.maximum(y.sum(0), 1)))[y.argmax(1)][:, None]
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-
-    def soft(z):
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    first, second = np.zeros((len(vocabulary) + 1, len(classes))), np.zeros((len(vocabulary) + 1, len(classes)))
-    for t in range(1, rounds + 1):  # Adam on the class-balanced likelihood
-        g = (soft(x @ w + b) - y) * balance
+def _examples(wordings: list[tuple[int, int, str]]) -> list[tuple[int, list[str]]]:
+    """(class, tokens) of every window of the wordings, and of each short one amid words that say nothing of licences."""
+    out: list[tuple[int, list[str]]] = [(0, [])]
+    for k, (_, c, line) in enumerate(wordings):
+        tokens = _tokens(line)
+        out += [(c, w) for w in _windows(tokens)]
+        if c and len(tokens) < WINDOW - 2:
+            around = _tokens(OTHER[k % len(OTHER)])
+            out.append((c, (around[: (WINDOW - len(tokens)) // 2] + tokens + around)[:WINDOW]))
+    return out
+
+
+class Model:
+    """classes, n-grams with their weights as rows, intercepts, temperature, templates as (class, word pairs), anchors."""
+
+    def __init__(self, classes, vocabulary, weights, intercept, temperature, templates, anchors):
+        self.classes, self.vocabulary, self.weights, self.intercept, self.temperature, self.templates, self.anchors = classes, vocabulary, weights, intercept, temperature, templates, anchors
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _matrix(data: list[tuple[int, list[str]]], index: dict[str, int], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(data), len(index)), np.float32)
+    for r, (_, tokens) in enumerate(data):
+        x[r, [index[g] for g in _grams(tokens) if g in index]] = 1
+    return x, np.eye(classes, dtype=np.float32)[[c for c, _ in data]]
+
+
+def _fit(data: list[tuple[int, list[str]]], classes: int, rounds: int = 60, rate: float = 0.15, l2: float = 2e-4) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(n-grams, weights, intercepts) by Adam on the class-balanced likelihood. N-grams of a single example are left out."""
+    count: dict[str, int] = {}
+    for _, tokens in data:
+        for g in _grams(tokens):
+            count[g] = count.get(g, 0) + 1
+    vocabulary = sorted(g for g, n in count.items() if n > 1)
+    x, y = _matrix(data, {g: i for i, g in enumerate(vocabulary)}, classes)
+    balance = (1 / (classes * np.maximum(y.sum(0), 1)))[y.argmax(1)][:, None]
+    balance[y[:, 0] > 0] *= classes / 4  # half of the classes' weight together: most windows are of no licence
+    w, b = np.zeros((len(vocabulary), classes), np.float32), np.zeros(classes, np.float32)
+    first, second = np.zeros((len(vocabulary) + 1, classes), np.float32), np.zeros((len(vocabulary) + 1, classes), np.float32)
+    for t in range(1, rounds + 1):
+        g = (_soft(x @ w + b) - y) * balance
         g = np.vstack([x.T @ g + l2 * w, g.sum(0)])
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
         w, b = w - step[:-1], b - step[-1]
-    b[0] = b.max() + 0.5  # a line of unseen words alone is unknown
     w[np.abs(w) < PRUNED] = 0
-    hx, hy = matrix(held)
-    z = hx @ w + b
-    temperature = min((t for t in np.geomspace(0.5, 5, 40)), key=lambda t: -np.log(np.maximum((soft(z / t) * hy).sum(1), 1e-12)).sum())
-    pairs = {c: {g for line in FAMILIES[f] for g in _grams(_tokens(line), 2) if " " in g or len(_tokens(line)) == 1} for c, f in enumerate(FAMILIES, 1)}
-    telling = sorted({t for f in FAMILIES.values() for line in f for t in _tokens(line) if t not in _PLAIN and not t.isdigit()})
-    return Model(classes, list(vocabulary), w, b, float(temperature), pairs, telling)
+    return vocabulary, w.astype(np.float64), b.astype(np.float64)
+
+
+def _calibrated(data: list[tuple[int, list[str]]], vocabulary: list[str], w: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """(temperature, what is added to the intercept of unknown) of the least loss on wordings that training has not seen."""
+    x, y = _matrix(data, {g: i for i, g in enumerate(vocabulary)}, len(b))
+    z = x @ w + b
+    weight = np.where(y[:, 0] > 0, 0.5 / y[:, 0].sum(), 0.5 / y[:, 1:].sum())
+
+    def loss(t: float, more: float) -> float:
+        own = z.copy()
+        own[:, 0] += more
+        return float(-(weight * np.log(np.maximum((_soft(own / t) * y).sum(1), 1e-12))).sum())
+
+    return min(((t, m) for t in np.geomspace(0.3, 3, 16) for m in np.linspace(-2, 6, 33)), key=lambda p: loss(*p))
+
+
+def _templates() -> list[tuple[int, frozenset[str]]]:
+    """(class, word pairs): of a statement those with a word of the name, or all if the name is one word; of a text those of each window."""
+    out: dict[tuple[int, frozenset[str]], None] = {}
+    for c, family in enumerate(NAMES, 1):
+        for name in NAMES[family]:
+            own = _tokens(name)
+            for lead in LEADS:
+                tokens = _tokens(lead.format(name))
+                pairs = frozenset(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False) if len(own) == 1 and own[0].isalpha() or a in own or b in own)
+                if pairs:
+                    out[c, pairs] = None
+        for line in TEXTS.get(family, ()):
+            for w in _windows(_tokens(line)):
+                out[c, frozenset(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))] = None
+    return list(out)
+
+
+def _anchors(templates: list[tuple[int, frozenset[str]]], confirmed: float = CONFIRMED) -> list[str]:
+    """Words of which every window holds one that has so large a share of a template's pairs.
+
+    Greedy: the word that covers most of what is still uncovered, where words that other sentences use
+    as well, function words, numbers and short words cost more; then those that turn out to be spare go,
+    the dearest first.
+    """
+    common: dict[str, int] = {}
+    for line in OTHER:
+        for w in _tokens(line):
+            common[w] = common.get(w, 0) + 1
+    cost = lambda w: 1 + 5 * common.get(w, 0) + (50 if w in STOPS or w.replace(".", "").isdigit() or len(w) < 4 and w.isalpha() else 0)
+    parts = [([tuple(p.split(" ")) for p in t], np.ceil(confirmed * len(t) - 1e-9)) for _, t in templates]
+    anchors: set[str] = set()
+    open_ = parts
+    while True:
+        # pairs without an anchor must be too few to confirm
+        open_ = [(t, least) for t, least in (([p for p in t if anchors.isdisjoint(p)], least) for t, least in open_) if len(t) >= least]
+        if not open_:
+            break
+        worth: dict[str, float] = {}
+        for t, _ in open_:
+            for w in {w for p in t for w in p}:
+                worth[w] = worth.get(w, 0.0) + 1 / cost(w)
+        anchors.add(max(sorted(worth), key=lambda w: worth[w]))
+    for w in sorted(anchors, key=lambda w: (-cost(w), w)):
+        rest = anchors - {w}
+        if all(sum(rest.isdisjoint(p) for p in t) < least for t, least in parts):
+            anchors = rest
+    return sorted(anchors)
 
 
-def classify(line: str, model: Model | None = None) -> tuple[str, float, float]:
-    """(family, probability, share of known word pairs) of one line, as the main path tells it."""
+@lru_cache(1)
+def train() -> Model:
+    """The model; the same at every call, as it depends on the wordings alone."""
+    classes = [UNKNOWN, *NAMES]
+    wordings = _wordings()
+    part = lambda *shares: _examples([x for x in wordings if x[0] in shares])
+    temperature, more = _calibrated(part(CALIBRATE), *_fit(part(TRAIN), len(classes)))
+    vocabulary, w, b = _fit(part(TRAIN, CALIBRATE, TEST), len(classes))
+    b[0] += more
+    templates = _templates()
+    return Model(classes, vocabulary, w, b, float(temperature), templates, _anchors(templates))
+
+
+def held_out() -> dict[str, float]:
+    """Precision and recall of families, and the share of other sentences left alone, on wordings seen by neither training nor calibration."""
+    wordings, n = _wordings(), len(NAMES) + 1
+    part = lambda share: _examples([x for x in wordings if x[0] == share])
+    vocabulary, w, b = _fit(part(TRAIN), n)
+    temperature, more = _calibrated(part(CALIBRATE), vocabulary, w, b)
+    b[0] += more
+    templates = _templates()
+    m = Model([UNKNOWN, *NAMES], vocabulary, w, b, float(temperature), templates, _anchors(templates))
+    told = [(c, {m.classes.index(f) for f, _, _ in classify(x, m)}) for share, c, x in wordings if share == TEST]
+    hits = sum(c in f for c, f in told if c)
+    return {
+        "wordings": float(len(told)),
+        "precision": hits / max(1, sum(len(f) for _, f in told)),
+        "recall": hits / sum(c > 0 for c, _ in told),
+        "left_alone": sum(not f for c, f in told if not c) / sum(c == 0 for c, _ in told),
+    }
+
+
+def classify(line: str, model: Model | None = None, sure: float = SURE, confirmed: float = CONFIRMED) -> list[tuple[str, float, float]]:
+    """(family, probability, share of a template's pairs) of one line, as the main path tells them: of each family its surest window."""
     m = model or train()
-    if not re.search(r"(?<![a-z0-9])(?:" + _trie(m.telling) + r")(?![a-z0-9])", line.lower()):
-        return UNKNOWN, 1.0, 0.0  # without a telling word a line is unknown by definition
-    tokens = _tokens(line)
     index = {g: i for i, g in enumerate(m.vocabulary)}
-    own = [index[g] for g in _grams(tokens) if g in index]
-    z = (m.weights[own].sum(0) + m.intercept) / m.temperature
-    p = np.exp(z - z.max())
-    p /= p.sum()
-    c = int(p.argmax())
-    pairs = {f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)}
-    known = len(pairs & m.pairs[c]) / len(pairs) if c and pairs else 0.0
-    return m.classes[c], float(p[c]), known
+    anchors, found = set(m.anchors), {}
+    for window in _windows(_tokens(line)):
+        if anchors.isdisjoint(window):
+            continue
+        own = [index[g] for g in _grams(window) if g in index]
+        p = _soft((m.weights[own].sum(0) + m.intercept)[None] / m.temperature)[0]
+        c = int(p.argmax())
+        pairs = {f"{a} {b}" for a, b in zip(window, window[1:], strict=False)}
+        known = max((len(pairs & t) / len(t) for k, t in m.templates if k == c), default=0.0)
+        if c and p[c] >= sure and known >= confirmed:
+            found[m.classes[c]] = max(found.get(m.classes[c], (0.0, 0.0)), (float(p[c]), known))
+    return [(f, *found[f]) for f in sorted(found)]
 
 
 def _trie(words: list[str]) -> str:
@@ -142,74 +252,83 @@ def _trie(words: list[str]) -> str:
     return text(tree)
 
 
-def _model_table(spark: SparkSession, m: Model) -> DataFrame:
-    """(gram, c, w, known): entries of the bundled wordings' vocabulary that are not zero, some ten thousand."""
-    rows = []
-    for i, g in enumerate(m.vocabulary):
-        for c in range(len(m.classes)):
-            known = int(" " in g and g in m.pairs.get(c, ()))
-            if m.weights[i, c] or known:
-                rows.append((g, c, float(m.weights[i, c]), known))
-    return spark.createDataFrame(rows, "gram string, c int, w double, known int")
+def _has_anchor(line: Column, m: Model) -> Column:
+    return F.lower(line).rlike(r"(?<![\p{L}\p{N}])(?:" + _trie(m.anchors) + r")(?![\p{L}\p{N}])")
+
 
+def scored_windows(lines: DataFrame, model: Model | None = None) -> DataFrame:
+    """(key, at, c, probability, known) of the windows of distinct lines(key, line) whose likeliest class is a family.
 
-def scored_lines(lines: DataFrame, model: Model | None = None) -> DataFrame:
-    """(key, family, probability, known) of distinct lines(key, line); key, not the line, goes through shuffles."""
+    Of the bundled wordings come the three tables that are broadcast: n-grams by class, some ten thousand
+    rows, and the templates' pairs.
+    """
     m = model or train()
     spark = lines.sparkSession
-    tokens = F.regexp_extract_all(F.lower("line"), F.lit(f"({TOKEN})"), F.lit(1))
-
-    def runs_of(k: int):
-        at = F.sequence(F.lit(1), F.greatest(F.size("t") - (k - 1), F.lit(1)))
-        return F.when(F.size("t") >= k, F.transform(at, lambda i: F.array_join(F.slice("t", i, k), " "))).otherwise(F.array().cast("array<string>"))
-
-    # tokens as a table, else every lambda below would take the line apart again
+    tokens = F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0))
+    # tables between the steps, else every lambda below would take the line apart again
     cut = written(lines.select("key", tokens.alias("t")), "licence-tokens")
-    cut = cut.withColumn("grams", F.array_distinct(F.concat(runs_of(1), runs_of(2), runs_of(3)))).withColumn("n_pairs", F.size(F.array_distinct(runs_of(2))))
-    each = cut.select("key", "n_pairs", F.explode("grams").alias("gram")).join(F.broadcast(_model_table(spark, m)), "gram")
+    last = F.greatest(F.size("t") - WINDOW, F.lit(0))
+    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(STEP)), F.array(last))
+    anchors = F.array(*[F.lit(a) for a in m.anchors])
+    windows = cut.select("key", F.explode(F.transform(starts, lambda a: F.struct(a.alias("at"), F.slice("t", a + 1, WINDOW).alias("w")))).alias("x")).select("key", "x.at", "x.w")
+    windows = written(windows.where(F.arrays_overlap("w", anchors)), "licence-windows")
+
+    def runs_of(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
+        return F.when(F.size("w") >= k, F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    weights = [(g, c, float(m.weights[i, c])) for i, g in enumerate(m.vocabulary) for c in range(len(m.classes)) if m.weights[i, c]]
+    grams = windows.select("key", "at", F.explode(F.array_distinct(F.concat(runs_of(1), runs_of(2), runs_of(3)))).alias("gram"))
+    each = grams.join(F.broadcast(spark.createDataFrame(weights, "gram string, c int, w double")), "gram")
     start = F.element_at(F.array(*[F.lit(float(b)) for b in m.intercept]), F.col("c") + 1)
     heat = F.lit(m.temperature)
-    sums = each.groupBy("key", "n_pairs", "c").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
-    sums = sums.withColumn("z", (F.col("w") + start) / heat).withColumn("z0", start / heat)
-    # a class without an n-gram of the line has its intercept alone; that of `unknown` is the largest
-    top = float(m.intercept[0]) / m.temperature
+    sums = each.groupBy("key", "at", "c").agg(F.sum("w").alias("w")).withColumn("z", (F.col("w") + start) / heat).withColumn("z0", start / heat)
+    # a class without an n-gram of the window has its intercept alone
+    top = float(m.intercept.max()) / m.temperature
     rest = float(np.exp(m.intercept / m.temperature - top).sum())
-    whole = sums.groupBy("key", "n_pairs").agg(
-        F.max(F.struct("z", (-F.col("c")).alias("nc"), "known")).alias("best"), F.sum(F.exp(F.col("z") - top)).alias("hit"), F.sum(F.exp(F.col("z0") - top)).alias("idle"), F.max(F.col("c") == 0).alias("has0")
-    )
-    alone = ~F.col("has0") & (F.col("best.z") < top)  # `unknown` without a word of its own wins
-    total = F.col("hit") + F.lit(rest) - F.col("idle")
-    c = F.when(alone, F.lit(0)).otherwise(-F.col("best.nc"))
-    out = whole.select("key", "n_pairs", c.alias("best_c"), (F.when(alone, F.lit(1.0)).otherwise(F.exp(F.col("best.z") - top)) / total).alias("probability"), F.col("best.known").alias("known"))
-    return out.select(
-        "key",
-        F.element_at(F.array(*[F.lit(x) for x in m.classes]), F.col("best_c") + 1).alias("family"),
-        "probability",
-        F.when((F.col("best_c") > 0) & (F.col("n_pairs") > 0), F.col("known") / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("known"),
+    whole = sums.groupBy("key", "at").agg(
+        F.max(F.struct("z", (-F.col("c")).alias("nc"))).alias("best"), F.sum(F.exp(F.col("z") - top)).alias("hit"), F.sum(F.exp(F.col("z0") - top)).alias("idle"), F.max(F.col("c") == 0).alias("has0")
     )
+    idle0 = ~F.col("has0") & (F.col("best.z") <= float(m.intercept[0]) / m.temperature)  # `unknown` without a word of its own wins
+    likely = whole.where(~idle0 & (F.col("best.nc") < 0)).select("key", "at", (-F.col("best.nc")).alias("c"), (F.exp(F.col("best.z") - top) / (F.col("hit") + F.lit(rest) - F.col("idle"))).alias("probability"))
+    templates = [(i, c, len(t), pair) for i, (c, t) in enumerate(m.templates) for pair in sorted(t)]
+    pairs = windows.join(likely, ["key", "at"]).select("key", "at", "c", "probability", F.explode(F.array_distinct(runs_of(2))).alias("pair"))
+    met = pairs.join(F.broadcast(spark.createDataFrame(templates, "template int, c int, size int, pair string")), ["c", "pair"])
+    shares = met.groupBy("key", "at", "c", "probability", "template", "size").agg((F.count(F.lit(1)) / F.col("size")).alias("known"))
+    return shares.groupBy("key", "at", "c", "probability").agg(F.max("known").alias("known"))
 
 
 def scan(docs: DataFrame, model: Model | None = None, sure: float = SURE, confirmed: float = CONFIRMED) -> DataFrame:
-    """A row per licence line: doc_id, h, line_no (from 0), line, family, probability, known.
+    """A row per licence line and family: doc_id, h, line_no (from 0), line, family, probability, known.
 
-    A paragraph is a line of the text. Null and empty texts have none. h is a hash of the text, which
-    tells documents with one doc_id apart; equal rows give one row. Ties between families go to the
-    first by the order of the wordings. Other columns are left out.
+    A paragraph is a line of the text; a line may tell several families, each with its surest window. Null
+    and empty texts have none; a very long line is as many windows as it has. h is a hash of the text,
+    which tells documents with one doc_id apart; equal rows give one row. Ties between families go to the
+    first by the order of the wordings. Other columns are left out; an empty table gives no rows.
     """
     m = model or train()
+    if confirmed < CONFIRMED:
+        raise ValueError("anchors hold for shares from CONFIRMED on")
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line"))
-    lines = lines.where(F.lower("line").rlike(r"(?<![a-z0-9])(?:" + _trie(m.telling) + r")(?![a-z0-9])"))
-    lines = written(lines.withColumn("key", F.md5("line")), "licence-lines")
-    found = scored_lines(lines.groupBy("key").agg(F.first("line").alias("line")), m).where((F.col("family") != UNKNOWN) & (F.col("probability") >= sure) & (F.col("known") >= confirmed))
-    return lines.join(found, "key").select("doc_id", "h", "line_no", "line", "family", "probability", "known").distinct()
+    lines = written(lines.where(_has_anchor(F.col("line"), m)).withColumn("key", F.md5("line")), "licence-lines")
+    found = scored_windows(lines.groupBy("key").agg(F.first("line").alias("line")), m).where((F.col("probability") >= sure) & (F.col("known") >= confirmed))
+    best = found.groupBy("key", "c").agg(F.max(F.struct("probability", "known")).alias("best"))
+    told = best.groupBy("key").agg(F.collect_list(F.struct(F.element_at(F.array(*[F.lit(x) for x in m.classes]), F.col("c") + 1).alias("family"), "best")).alias("told"))
+    # a family's row each; a line that many documents share is a hot key
+    hits = join_hot(lines, told, ["key"]).select("doc_id", "h", "line_no", "line", F.explode("told").alias("x"))
+    return hits.select("doc_id", "h", "line_no", "line", "x.family", "x.best.probability", "x.best.known").distinct()
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: licence families in alphabetical order, comma-joined, its licence lines, the least sure one's probability."""
+    """Per document: licence families in alphabetical order, comma-joined, its licence lines, the least sure one's probability.
+
+    Whole table; a document without a licence has no families, 0 lines and no probability. Repeated rows
+    are told each.
+    """
     docs = table(spark, sf_dir, "documents")
     hits = scan(docs).groupBy("doc_id", "h").agg(
-        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("n_lines"), F.min("probability").alias("probability")
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct("line_no").alias("n_lines"), F.min("probability").alias("probability")
     )
     own = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    joined = own.join(hits, own["doc_id"].eqNullSafe(hits["doc_id"]) & (own["h"] == hits["h"]), "left")
-    return joined.select(own["doc_id"], F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.round("probability", 6).alias("probability"))
+    joined = join_hot(own, written(hits, "licence-hits"), ["doc_id", "h"], "left")
+    return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.round("probability", 6).alias("probability"))
