@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sprachwerk.functions.regex import java
+from sprachwerk.resources.fixed import LIGHT_SUFFIXES
 
 _SPACES = "\u00a0\u202f\u2009\u200a"
 _GONE = "\u200b\u00ad\ufeff"
 _LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u0132": "IJ", "\u0133": "ij"}
 _UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue"}
 _QUOTES = '„“”"«»‟″'
-_STEMS = ("ungen", "ung", "ern", "em", "er", "en", "es", "e", "n", "s")
 #: What Python's str.strip() removes.
 _STRIP = r"[\s\x1C-\x1F\x85\u2028\u2029]"
 
@@ -84,7 +84,7 @@ def display_form(c: Column) -> Column:
 def light_stem(c: Column) -> Column:
     """The first suffix that leaves four characters is cut; null if none does."""
     cases = F
-    for s in _STEMS:
+    for s in LIGHT_SUFFIXES:
         cut = c.endswith(s) & (F.length(c) - len(s) >= 4)
         cases = (F.when if cases is F else cases.when)(cut, F.substring(c, F.lit(1), F.length(c) - len(s)))
     return cases

@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 from importlib.resources import files
 
+from sprachwerk.resources.fixed import DOMAINS, SYNONYMS
+
 
 @lru_cache(None)
 def lines(name: str) -> tuple[str, ...]:
@@ -16,17 +18,19 @@ def words(name: str) -> frozenset[str]:
     return frozenset(lines(name))
 
 
-@lru_cache(None)
 def synonyms() -> dict[str, tuple[str, ...]]:
-    return {k.lower(): tuple(v.split("|")) for k, v in (x.split("\t") for x in lines("synonyms.tsv"))}
+    return dict(SYNONYMS)
 
 
-@lru_cache(None)
 def terms(domain: str | None = None) -> tuple[tuple[str, str, tuple[str, ...]], ...]:
     """(domain, preferred, aliases) of one pack or of all."""
-    rows = (x.split("\t") for x in lines("terms.tsv"))
-    return tuple((d, p, tuple(a for a in al.split("|") if a)) for d, p, al, *_ in rows if domain in (None, d))
+    return tuple((name, preferred, aliases) for name, _, _, own in DOMAINS if domain in (None, name) for preferred, aliases in own)
 
 
 def domains() -> tuple[str, ...]:
-    return tuple(sorted({d for d, _, _ in terms()}))
+    return tuple(name for name, *_ in DOMAINS)
+
+
+def document_types(domain: str) -> tuple[str, ...]:
+    """Kinds of documents that a pack is for."""
+    return next(kinds for name, _, kinds, _ in DOMAINS if name == domain)
