@@ -5,9 +5,22 @@ Java's classes are ASCII without (?U) and still differ with it; see `java`.
 
 from __future__ import annotations
 
+import re
+
 _W = r"\p{L}\p{N}_"
 _S = r"\s\x1C-\x1F"
 _EDGE = rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+#: What only word characters match, as the next or the last thing beside a word boundary: half of the test is then known.
+_NEXT = re.compile(r"\\[dw]|[^\W_]|\[(?:[^\W_](?:-[^\W_])?|\\[dw])+\]")
+_LAST = re.compile(r"(?:\\[dw]|(?<![\\\w])[^\W_]|\[(?:[^\W_](?:-[^\W_])?|\\[dw])+\])(?:\{[1-9]\d*(?:,\d*)?\}|\+)?$")
+
+
+def _edge(pattern: str, i: int) -> str:
+    """A word boundary at pattern[i:i + 2]; cheaper where the atom beside it settles one side."""
+    after = _NEXT.match(pattern, i + 2)
+    if after and pattern[after.end() : after.end() + 1] not in ("?", "*") and pattern[after.end() : after.end() + 2] != "{0":
+        return f"(?<![{_W}])"
+    return f"(?![{_W}])" if _LAST.search(pattern[:i]) else _EDGE
 
 
 def java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -26,7 +39,7 @@ def java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> st
             elif e == "S":
                 out.append(f"[^{_S}]")
             elif e == "b" and not inside:
-                out.append(_EDGE)
+                out.append(_edge(pattern, i))
             else:
                 out.append(c + e)
             i += 2

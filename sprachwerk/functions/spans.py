@@ -1,11 +1,15 @@
-"""Matches with their offsets, without Python: offsets are summed up from gaps and matches."""
+"""Matches with their offsets, without Python: one pass marks them, lengths of the pieces give the rest."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sprachwerk.functions.bind import let
+
 SPAN = "array<struct<text:string,start:int,end:int>>"
+#: Noncharacters, which no text for interchange holds; one that does is cleared of them, each as one character.
+_OPEN, _OWN, _CLOSE = "﷐", "﷑", "﷒"
 
 
 def find(text: Column, pattern: str, group: int = 0) -> Column:
@@ -13,17 +17,21 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
 
     With group 1 the group must end the pattern; its span is told. Offsets count code points.
     """
-    p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    own = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    rows = F.arrays_zip(gaps.alias("g"), whole.alias("w"), own.alias("o"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-
-    def add(acc, x):
-        end = acc["at"] + F.length(x["g"]) + F.length(x["w"])
-        span = F.struct(x["o"].alias("text"), (end - F.length(x["o"])).cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(F.coalesce(end, acc["at"]).cast("int").alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    mark = _OPEN + "$0" + (_OWN + f"${group}" if group else "") + _CLOSE
+    marked = F.regexp_replace(F.translate(text, _OPEN + _OWN + _CLOSE, "�" * 3), F.lit(pattern), F.lit(mark))
+
+    def told(pieces: Column) -> Column:
+        none = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            body = F.substring_index(x, _CLOSE, 1)
+            whole, own = (F.substring_index(body, _OWN, 1), F.substring_index(body, _OWN, -1)) if group else (body, body)
+            end = acc["at"] + F.length(whole)
+            span = F.struct(own.alias("text"), (end - F.length(own)).cast("int").alias("start"), end.cast("int").alias("end"))
+            rest = F.length(x) - F.length(body) - 1
+            return F.struct((end + rest).cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), none, add, lambda acc: acc["out"])
 
     # most texts hold no match: the test stops at the first and is all they pay
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, add, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(text.rlike(pattern), let(F.split(marked, _OPEN), told)).otherwise(F.expr(f"cast(array() as {SPAN})"))
