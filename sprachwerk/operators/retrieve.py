@@ -9,7 +9,7 @@ sums of doubles depend on their order.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sprachwerk.functions.bind import let
 from sprachwerk.operators import tables
 
 K1, B = 1.5, 0.75
 RRF = 60
 DIMENSION = 256
 ROUND = 6
+#: Ranges of scores that a question's hits are ranked in.
+BINS = 4096
 
 
 def postings(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -39,14 +42,56 @@ def bm25(post: DataFrame, question_terms: DataFrame, chunks: DataFrame | None =
     keeps chunks that hold every term of the question.
     """
     lengths = post.groupBy(key).agg(F.sum("tf").alias("dl"))
+    own = post.join(question_terms.select("term").distinct(), "term").join(lengths, key)
     total = lengths.agg(F.count(F.lit(1)).alias("with_terms"), F.sum("dl").alias("tokens"))
     n = chunks.agg(F.count(F.lit(1)).alias("n")) if chunks is not None else total.select(F.col("with_terms").alias("n"))
     stats = total.crossJoin(n).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))  # one row each
+    return _bm25(own, stats, question_terms, key, k1, b, conjunctive)
+
+
+#: Distinct asked terms that are looked for in the scan itself; more of them meet the texts by a join.
+ASKED = 10_000
+
+
+def asked_terms(texts: DataFrame, question_terms: DataFrame, terms: Column, key: str) -> DataFrame:
+    """(key, dl, met): of each text its length in terms, and the asked ones among them as (term, tf).
+
+    terms is an array expression, so a text is cut into terms where it is read, once, and no posting of a
+    term that nobody asks for is ever moved. The rows are exchanged by key, small as they are, so that
+    all that is computed from them shares one pass over the texts.
+    """
+    wanted = [r["term"] for r in question_terms.select("term").distinct().limit(ASKED + 1).collect()]
+    if len(wanted) > ASKED:
+        each = texts.select(key, let(terms, lambda t: F.struct(F.size(t).alias("dl"), t.alias("t"))).alias("x")).select(key, "x.dl", F.explode_outer("x.t").alias("term"))
+        own = each.join(question_terms.select("term").distinct(), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        own = own.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("met"))
+        return each.groupBy(key).agg(F.max("dl").alias("dl")).join(own, key, "left").withColumn("met", F.coalesce("met", F.expr("cast(array() as array<struct<term:string,tf:bigint>>)")))
+    asked = F.array(*[F.lit(w) for w in sorted(wanted)]).cast("array<string>")
+
+    def counted(t: Column) -> Column:
+        met = F.transform(F.array_intersect(t, asked), lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).cast("long").alias("tf")))
+        return F.struct(F.size(t).alias("dl"), met.alias("met"))
+
+    return texts.select(key, let(F.coalesce(terms, F.array().cast("array<string>")), counted).alias("x")).select(key, "x.dl", "x.met").repartition(key)
+
+
+def asked_postings(found: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf, dl) from what `asked_terms` tells."""
+    return found.select(key, "dl", F.explode_outer("met").alias("p")).where("p IS NOT NULL").select(key, "p.term", "p.tf", "dl")
+
+
+def bm25_texts(found: DataFrame, question_terms: DataFrame, key: str, k1: float = K1, b: float = B, conjunctive: bool = False) -> DataFrame:
+    """bm25 over what `asked_terms` tells of all texts."""
+    # both columns are read, so the plan is that of the postings and their exchange is used again
+    stats = found.agg(F.count("met").alias("n"), F.sum("dl").alias("tokens")).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    return _bm25(asked_postings(found, key), stats, question_terms, key, k1, b, conjunctive)
+
+
+def _bm25(own: DataFrame, stats: DataFrame, question_terms: DataFrame, key: str, k1: float, b: float, conjunctive: bool) -> DataFrame:
+    """Scores from postings of asked terms with their chunk's length; stats is one row of n and avgdl."""
     asked = question_terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    own = post.join(wanted, "term")
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = own.join(df, "term").join(lengths, key).join(asked, "term").crossJoin(F.broadcast(stats))
+    met = own.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = met.groupBy("qid", key).agg(F.round(F.sum(F.col("qtf") * part), ROUND).alias("score"), F.count(F.lit(1)).alias("met"))
@@ -62,6 +107,21 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", tie: str | None = None
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(k, 0))
 
 
+def ranked(scored: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Every hit of each question with its exact rank from 1; ties go to the smaller key.
+
+    A question's hits are counted in BINS ranges of scores, from which each range knows how many come
+    before it, and are ordered within their range: no task sees all hits of a question.
+    """
+    edges = scored.groupBy("qid").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    wide = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("score")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    binned = scored.join(edges, "qid").withColumn("_bin", F.floor(wide * (BINS - 1))).drop("_low", "_high")
+    sizes = binned.groupBy("qid", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("qid", "_bin", (F.sum("_n").over(W.partitionBy("qid").orderBy("_bin")) - F.col("_n")).alias("_start"))
+    by = W.partitionBy("qid", "_bin").orderBy(F.desc("score"), key)
+    return binned.withColumn("_r", F.row_number().over(by)).join(starts, ["qid", "_bin"]).withColumn("rank", (F.col("_start") + F.col("_r")).cast("int")).drop("_bin", "_r", "_start")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -149,9 +209,14 @@ def hashed_terms(terms: DataFrame, dimension: int = DIMENSION, method: str = "bl
 
 def sparse_embeddings(terms: DataFrame, key: str = "chunk_id", dimension: int = DIMENSION, method: str = "blake2b") -> DataFrame:
     """(key, bucket, weight), unit length; keys whose buckets cancel out are left out."""
-    own = terms.join(hashed_terms(terms, dimension, method), "term").groupBy(key, "bucket").agg(F.sum("sign").alias("v")).where("v <> 0")
-    norm = own.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return own.join(norm, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("weight"))
+    if method == "md5":  # hashed where the token stands: neither words nor texts are shuffled, only bucket sums
+        bucket, sign = _md5(F.col("term"), dimension)
+        hashed = terms.select(key, bucket.alias("bucket"), sign.alias("sign"))
+    else:
+        hashed = terms.join(hashed_terms(terms, dimension, method), "term")
+    own = hashed.groupBy(key, "bucket").agg(F.sum("sign").alias("v")).where("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(key)))  # a key has at most `dimension` rows
+    return own.select(key, "bucket", (F.col("v") / norm).alias("weight"))
 
 
 def dense(sparse: DataFrame, key: str = "chunk_id", dimension: int = DIMENSION) -> DataFrame:
@@ -181,6 +246,55 @@ def fuse(branches: Iterable[tuple[str, DataFrame]], key: str = "chunk_id", k: in
     return every.groupBy("qid", key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), *ranks)
 
 
+#: Names of embedders and how they are built; `register_embedder` adds one. Each gives a function from texts to vectors once a worker.
+EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], list[list[float]]]]] = {}
+ALIASES = {"bge-m3": "BAAI/bge-m3", "e5": "intfloat/multilingual-e5-large"}
+
+
+def register_embedder(name: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> None:
+    """Make a model known; load runs once in each worker and returns texts → vectors."""
+    EMBEDDERS[ALIASES.get(name, name)] = load
+
+
+def embed(rows: DataFrame, text: str = "index_text", name: str = "hashing", key: str = "chunk_id", dimension: int = DIMENSION, expand: bool = True, batch: int = 64) -> DataFrame:
+    """(key, embedding) of each row, of unit length. `hashing` needs no model; others come from `register_embedder`."""
+    if name == "hashing":
+        own = dense(sparse_embeddings(tables.search_terms(rows, key, text, expand), key, dimension), key, dimension)
+        zeros = F.array_repeat(F.lit(0.0), dimension)
+        return rows.select(key).distinct().join(own, key, "left").select(key, F.coalesce("embedding", zeros).alias("embedding"))
+    own_name = ALIASES.get(name, name)
+    if own_name not in EMBEDDERS:
+        raise KeyError(f"no embedder {name!r}; known: hashing, {', '.join(sorted(EMBEDDERS))}")
+    load = EMBEDDERS[own_name]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        model = load()
+        for part in batches:
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            vectors = [v for at in range(0, len(texts), batch) for v in model(texts[at : at + batch])]
+            norms = [sum(x * x for x in v) ** 0.5 or 1.0 for v in vectors]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[x / n for x in v] for v, n in zip(vectors, norms, strict=True)], pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return rows.select(key, text).mapInArrow(run, T.StructType([rows.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+def rerank_model(results: DataFrame, questions: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_k: int | None = None, text: str = "index_text") -> DataFrame:
+    """Results by the scores that a cross encoder gives to (question, text) pairs; prior rank breaks ties.
+
+    load runs once in each worker and returns pairs → scores. Results are a few a question, so they are
+    what is scored, never the corpus.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def scores(q: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array([float(x) for x in load()([(a or "", b or "") for a, b in zip(q.to_pylist(), d.to_pylist(), strict=True)])], pa.float64())
+
+    rows = results.join(questions.select("qid", "question"), "qid").withColumn("_prior", F.col("rank"))
+    scored = rows.withColumn("score", scores(F.col("question"), F.col(text)))
+    out = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "_prior"))).drop("_prior", "question")
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
 class Index:
     """Chunks with terms, and vectors if asked for; batches can be added."""
 
@@ -198,23 +312,24 @@ class Index:
     def search(self, questions: DataFrame, top_k: int = 20, fusion: str = "rrf", tie: str = "chunk_id", candidates: int | None = None) -> DataFrame:
         """questions(qid, question) → qid, chunk_id, score, rank, vector_rank, lexical_rank, then the chunk's columns.
 
-        Branches without hits are left out, not punished. candidates bounds each branch before fusion.
+        Branches without hits are left out, not punished. candidates bounds each branch before fusion;
+        without it every hit's exact rank takes part, see `ranked`.
         """
         if fusion != "rrf":
             raise ValueError(f"unknown fusion {fusion!r}")
         asked = tables.search_terms(questions.select("qid", "question"), "qid", "question", self.expand)
         branches = []
-        limit = candidates or (1 << 31) - 1
         if self.vector:
             scored = sparse_scores(sparse_embeddings(asked, "qid", self.dimension), sparse_embeddings(self.terms, "chunk_id", self.dimension))
-            branches.append(("vector", top(scored, limit)))
+            branches.append(("vector", top(scored, candidates) if candidates else ranked(scored)))
         if self.lexical:
-            branches.append(("lexical", top(bm25(postings(self.terms), asked, self.chunks.select("chunk_id")), limit)))
-        ranked = top(fuse(branches), top_k, tie=tie)
+            scored = bm25(postings(self.terms), asked, self.chunks.select("chunk_id"))
+            branches.append(("lexical", top(scored, candidates) if candidates else ranked(scored)))
+        best = top(fuse(branches), top_k, tie=tie)
         for name in ("vector", "lexical"):
-            if f"{name}_rank" not in ranked.columns:
-                ranked = ranked.withColumn(f"{name}_rank", F.lit(None).cast("int"))
-        return ranked.join(self.chunks, "chunk_id")
+            if f"{name}_rank" not in best.columns:
+                best = best.withColumn(f"{name}_rank", F.lit(None).cast("int"))
+        return best.join(self.chunks, "chunk_id")
 
 
 def rerank_lexical(results: DataFrame, questions: DataFrame, top_k: int | None = None, text: str = "index_text") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +11,6 @@ from sprachwerk.functions import text as tx
 from sprachwerk.operators import kernels
 
 
-
 def _rows(**fields: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
 
@@ -20,6 +19,7 @@ def _rows(**fields: T.DataType) -> T.ArrayType:
 _S, _I, _L = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
 SENTENCES = _rows(text=_S, start=_I, end=_I)
 SECTIONS = _rows(ord=_I, parent_ord=_I, level=_I, title=_S, path=_L, content=_S)
+COMPOUNDS = _rows(word=_S, parts=_L)
 CHUNKS = _rows(content=_S, section=_S, section_path=_L, absatz=_S, paragraphs=_I)
 
 _SPAN = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -51,6 +51,41 @@ def _complete(x: pa.Array) -> pa.Array:
     return _each(x, kernels.complete, pa.string())
 
 
+@F.arrow_udf(_S)
+def decompounded(x: pa.Array) -> pa.Array:
+    """Texts with compounds as their parts."""
+    return _each(x, kernels.decompound, pa.string())
+
+
+def expanded(glossary: dict[str, tuple[str, ...]] | None = None, most: int = 12):
+    """An expression maker: a query's words, compound parts and synonyms as an array."""
+
+    @F.arrow_udf(_L)
+    def run(x: pa.Array) -> pa.Array:
+        return _each(x, lambda q: kernels.expand(q, glossary, None, most), pa.list_(pa.string()))
+
+    return run
+
+
+def analyze(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with what a first look asks for: sentences, the search form, and the compounds as (word, parts)."""
+
+    @F.arrow_udf(COMPOUNDS)
+    def split(x: pa.Array) -> pa.Array:
+        def found(text: str) -> list[dict]:
+            each = ((w, kernels.compound(w)) for w in dict.fromkeys(kernels.words(text)))
+            return [{"word": w, "parts": p} for w, p in each if len(p) > 1]
+
+        return _each(x, found, pa.list_(pa.struct([("word", pa.string()), ("parts", pa.list_(pa.string()))])))
+
+    return docs.select("doc_id", sentences("text").alias("sentences"), search_form(F.col("text")).alias("search_form"), split("text").alias("compounds"))
+
+
+def chunk_text(spark: SparkSession, text: str, title: str | None = None, **options) -> DataFrame:
+    """The chunks of one text that is no table's."""
+    return chunk(spark.createDataFrame([("text", text, title)], "doc_id string, text string, title string"), **options)
+
+
 def completed(text: Column) -> Column:
     """Suspended hyphens resolved; texts without one never reach Python's kernel with their content."""
     plain = tx.dashes(tx.unicode_form(text))
@@ -116,12 +151,18 @@ def naive_chunks(docs: DataFrame, width: int = 140) -> DataFrame:
     return rows.select("doc_id", "ordinal", F.substring("text", F.col("ordinal") * width + 1, F.lit(width)).alias("content"))
 
 
+def search_tokens(text: Column) -> Column:
+    """The words of a text's search form, in order, with repeats."""
+    return F.filter(F.split(search_form(text), " |\n"), lambda w: w != "")
+
+
 def search_terms(rows: DataFrame, key: str, text: str, expand: bool = True) -> DataFrame:
     """(key, term): search tokens with multiplicity; with expand also compound parts and then stems.
 
     The compound kernel sees each different word once; parts and stems come back by a join.
     """
-    words = rows.select(key, F.explode(F.filter(F.split(search_form(F.col(text)), " |\n"), lambda w: w != "")).alias("term"))
+    # outer, so that no filter that looks at the terms is inferred, which would cut every text twice
+    words = rows.select(key, F.explode_outer(search_tokens(F.col(text))).alias("term")).where("term IS NOT NULL")
     if not expand:
         return words
     vocabulary = words.select("term").distinct().withColumn("parts", compound_parts("term"))
