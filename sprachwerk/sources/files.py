@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from sprachwerk.functions import language, pii, structure
 from sprachwerk.operators import kernels
 
 SUFFIXES = "*.{txt,text,log,md,markdown}"
+_CONVERTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 _RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -22,7 +25,7 @@ def _decoded(x: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def _first_heading(x: pa.Array) -> pa.Array:
     def title(text: str | None) -> str | None:
-        lines = (structure.match_heading(line) for line in (text or "").splitlines())
+        lines = (structure.kind_of(line) for line in (text or "").splitlines())
         return next((h[1] for h in lines if h and h[1]), None)
 
     return pa.array([title(t) for t in x.to_pylist()], pa.string())
@@ -35,21 +38,52 @@ def documents(files: DataFrame) -> DataFrame:
     title is a Markdown file's first heading, else the file's name without its suffix. Spark reads
     no empty files, so they give no row.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*\z", "")
-    rows = files.select("path", _decoded("content").alias("text"))
-    marked = F.lower(name).rlike(r"\.(md|markdown)\z")
+    rows = files.select("path", _decoded("content").alias("text"), F.lit(None).cast("string").alias("error"))
+    marked = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"\.(md|markdown)\z")
+    told = _described(rows, F.when(marked, _first_heading("text")))
+    return told.withColumn("error", F.when(F.col("text").isNull(), F.lit("neither UTF-8 nor Windows-1252"))).drop("_error")
+
+
+def _described(rows: DataFrame, title: Column) -> DataFrame:
+    """rows(path, text, error) as documents, with `title` or else the file's name without its suffix."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "")
     return rows.select(
         F.substring(F.sha2("path", 256), 1, 16).alias("doc_id"),
         F.col("path").alias("source"),
-        F.coalesce(F.when(marked, _first_heading("text")), stem).alias("title"),
+        F.coalesce(title, stem).alias("title"),
         language.detect(F.col("text")).alias("language"),
         "text",
         pii.metadata(F.col("text")).alias("metadata"),
-        F.when(F.col("text").isNull(), F.lit("neither UTF-8 nor Windows-1252")).alias("error"),
+        F.col("error").alias("_error"),
     )
 
 
+def read_with(spark: SparkSession, path: str, pattern: str, load: Callable[[], Callable[[bytes], str]]) -> DataFrame:
+    """Documents of files that need a converter, such as "*.{pdf,docx}": load runs once in each worker and gives bytes → Markdown.
+
+    A file that it fails on has a null text and the reason in error.
+    """
+    loaded: list[Callable[[bytes], str]] = []
+
+    @F.arrow_udf(_CONVERTED)
+    def convert(x: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(load())
+
+        def one(raw: bytes | None) -> dict:
+            try:
+                return {"text": loaded[0](raw or b""), "error": None}
+            except Exception as e:  # noqa: BLE001 - one broken file is told, not raised
+                return {"text": None, "error": f"{type(e).__name__}: {e}"[:500]}
+
+        return pa.array([one(b) for b in x.to_pylist()], pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    rows = found.select("path", convert("content").alias("c")).select("path", F.regexp_replace("c.text", "\r\n?", "\n").alias("text"), "c.error")
+    told = _described(rows, _first_heading("text"))
+    return told.withColumn("error", F.col("_error")).drop("_error")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a file or of a folder with its subfolders, by suffix in small letters."""
     return documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(path))
