@@ -16,6 +16,7 @@ from sprachwerk.functions import classify as cl
 from sprachwerk.functions import language, pii, security, structure
 from sprachwerk.functions import text as tx
 from sprachwerk.operators import checks, evaluate, rag, retrieve, tables
+from sprachwerk.resources.fixed import CUES, ENGLISH_MARKERS, GERMAN_MARKERS, STYLE
 from sprachwerk.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +126,7 @@ _TERMS = f"SELECT doc_id, unnest(list_filter(string_split_regex({_search()}, '[
 @query(f"SELECT lang, term, n FROM (SELECT lang, term, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM ({_TERMS}) JOIN documents USING (doc_id) GROUP BY lang, term) WHERE r <= 20")
 def top_terms_by_lang(spark, d):
     docs = _docs(spark, d)
-    terms = docs.select("lang", F.explode(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = docs.select("lang", F.explode_outer(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term")).where("term IS NOT NULL").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("lang").orderBy(F.desc("n"), "term")
     return terms.withColumn("r", F.row_number().over(by)).where("r <= 20").drop("r")
 
@@ -134,9 +135,9 @@ def _stem_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} LIKE '%{s}' AND length({x}) - {len(s)} >= 4 THEN {x}[:length({x}) - {len(s)}]" for s in ("ungen", "ung", "ern", "em", "er", "en", "es", "e", "n", "s")) + " END"
 
 
-@query(f"SELECT stem, count(*) AS n FROM (SELECT {_stem_sql('term')} AS stem FROM ({_TERMS})) WHERE stem IS NOT NULL GROUP BY stem HAVING count(*) >= 20")
+@query(f"SELECT stem, count(*) AS n FROM (SELECT {_stem_sql('term')} AS stem FROM ({_TERMS})) WHERE stem IS NOT NULL GROUP BY stem")
 def light_stem_counts(spark, d):
-    terms = _docs(spark, d).select(F.explode(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term"))
+    terms = _docs(spark, d).select(F.explode_outer(F.filter(F.split(tx.search_form(F.col("text")), " |\n"), lambda w: w != "")).alias("term")).where("term IS NOT NULL")
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # stems of distinct terms only
     return counted.select(tx.light_stem(F.col("term")).alias("stem"), "n").where("stem IS NOT NULL").groupBy("stem").agg(F.sum("n").alias("n"))
 
@@ -163,7 +164,7 @@ _CF = "replace(lower(text), 'ß', 'ss')"
 
 @query(
     f"""WITH w AS (SELECT doc_id, regexp_extract_all({_CF}, '[a-zäöüß]{{2,}}') AS ws, length({_CF}) - length(translate({_CF}, 'äöü', '')) AS u FROM documents),
-    c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({_in(language.GERMAN)}))) + u AS g, len(list_filter(ws, lambda x: x IN ({_in(language.ENGLISH)}))) AS e FROM w)
+    c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ({_in(GERMAN_MARKERS)}))) + u AS g, len(list_filter(ws, lambda x: x IN ({_in(ENGLISH_MARKERS)}))) AS e FROM w)
     SELECT doc_id, CASE WHEN n = 0 OR e < 3 THEN 'de' WHEN g < 3 THEN 'en' WHEN g / (g + e) BETWEEN 0.35 AND 0.65 THEN 'mixed' WHEN g / (g + e) > 0.5 THEN 'de' ELSE 'en' END AS detected FROM c"""
 )
 def detect_language(spark, d):
@@ -224,10 +225,15 @@ def chunk_naive(spark, d):
 
 
 # ---- identifiers ----
-_MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
+_MAIL = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m, string_split_regex(text, '{_MAIL}') AS g FROM documents),
+    x AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM d),
+    p AS (SELECT doc_id, m[i] AS text, list_sum(list_transform(g[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda t: length(t))), 0) AS s FROM x)
+    SELECT doc_id, text, cast(s AS INTEGER) AS start, cast(s + length(text) AS INTEGER) AS "end", cast(0.95 AS DOUBLE) AS confidence FROM p"""
+)
 def email_entities(spark, d):
     found = _docs(spark, d).select("doc_id", F.explode(pii.recognize(F.col("text"), next(r for r in pii.RECOGNIZERS if r.name == "email"))).alias("e"))
     return found.select("doc_id", "e.text", "e.start", "e.end", "e.confidence")
@@ -375,7 +381,14 @@ def overlap_free_entities(spark, d):
     return rows.select("l_orderkey", n.cast("long").alias("n_free")).where("n_free > 0")
 
 
-@query()
+_SPANS = f"""WITH r AS (SELECT o_orderkey, {_LINE} AS l, {_IB} AS iban, 'RE-' || o_orderkey AS inv, lpad(cast(o_orderkey % 100000 AS VARCHAR), 5, '0') AS c FROM orders),
+e AS (SELECT o_orderkey, 'DE_INVOICE_NUMBER' AS type, inv AS t, position(inv IN l) - 1 AS s, 0.9 AS confidence FROM r
+  UNION ALL SELECT o_orderkey, 'DE_IBAN', iban, position(iban IN l) - 1, 1.0 FROM r WHERE {_IBV}
+  UNION ALL SELECT o_orderkey, 'DE_PLZ', c, length(l) - 6, 0.85 FROM r WHERE o_orderkey % 3 = 0)
+SELECT o_orderkey, type, cast(s AS INTEGER) AS start, cast(s + length(t) AS INTEGER) AS "end", cast(confidence AS DOUBLE) AS confidence FROM e"""
+
+
+@query(_SPANS)
 def resolve_overlaps(spark, d):
     return _record(spark, d).select("o_orderkey", F.explode(pii.detect(F.col("line"))).alias("e")).select("o_orderkey", "e.type", "e.start", "e.end", "e.confidence")
 
@@ -406,7 +419,7 @@ _CUE_TEXT = "lower(text) || CASE doc_id % 5 WHEN 0 THEN ' rechnungsnummer nettob
 
 
 def _classify_sql() -> str:
-    values = ", ".join(f"('{k}', '{c}', {w})" for k, own in cl.CUES.items() for w, cs in own.items() for c in cs)
+    values = ", ".join(f"('{k}', '{c}', {w})" for k, c, w in CUES)
     return f"""WITH d AS (SELECT doc_id, {_CUE_TEXT} AS t FROM documents), q(kind, cue, w) AS (VALUES {values}),
     f AS (SELECT doc_id, t, replace(t, 'ß', 'ss') AS cf, len(regexp_extract_all(t, '§\\s*\\d+')) AS para, len(regexp_extract_all(t, '\\(\\d+\\)')) AS cla FROM d),
     s AS (SELECT doc_id, kind, sum(w * least((length(cf) - length(replace(cf, cue, ''))) // length(cue), 3)) AS s FROM f, q GROUP BY ALL
@@ -448,7 +461,7 @@ def style_long_words(spark, d):
     from sprachwerk.functions import spans
     from sprachwerk.functions.regex import java
 
-    p = next(p for rule, _, p in checks.STYLE if rule == "langes_wort")
+    p = next(p for rule, _, p in STYLE if rule == "langes_wort")
     return _docs(spark, d).select("doc_id", F.size(spans.find(F.col("text"), java(p))).cast("long").alias("n"))
 
 
@@ -479,11 +492,15 @@ def _ranked(x: str, k: int) -> str:
     return f"SELECT qid, doc_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {x} QUALIFY rank <= {k}"
 
 
-def _scored(spark: SparkSession, d: str, conjunctive: bool = False) -> DataFrame:
-    docs = _docs(spark, d)
-    terms = tables.search_terms(docs, "doc_id", "text", expand=False)
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What each document has of the questions' terms, and these terms."""
     asked = tables.search_terms(_questions(spark), "qid", "question", expand=False)
-    return retrieve.bm25(retrieve.postings(terms, "doc_id"), asked, docs.select("doc_id"), "doc_id", conjunctive=conjunctive)
+    return retrieve.asked_terms(_docs(spark, d), asked, tables.search_tokens(F.col("text")), "doc_id"), asked
+
+
+def _scored(spark: SparkSession, d: str, conjunctive: bool = False) -> DataFrame:
+    found, asked = _asked(spark, d)
+    return retrieve.bm25_texts(found, asked, "doc_id", conjunctive=conjunctive)
 
 
 @query(f"{_BM25} {_ranked('m', 5)}")
@@ -496,7 +513,7 @@ def bm25_conjunctive(spark, d):
     return retrieve.top(_scored(spark, d, True), 10, "doc_id")
 
 
-@query("SELECT q.vec_id AS qid, x.vec_id, round(list_cosine_similarity(cast(q.embedding AS DOUBLE[]), cast(x.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(cast(q.embedding AS DOUBLE[]), cast(x.embedding AS DOUBLE[])), 6) DESC, x.vec_id) <= 10")
+@query("SELECT q.vec_id AS qid, x.vec_id, round(list_cosine_similarity(cast(q.embedding AS DOUBLE[]), cast(x.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(cast(q.embedding AS DOUBLE[]), cast(x.embedding AS DOUBLE[])), 6) DESC, x.vec_id) <= 10")
 def cosine_topk(spark, d):
     return retrieve.cosine_top(_t(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 10).drop("rank")
 
@@ -513,12 +530,9 @@ def hash_embed_md5(spark, d):
 
 @query(f"{_BM25}, r1 AS ({_ranked('m', 50)}), r2 AS (SELECT qid, doc_id, cast(row_number() OVER (PARTITION BY qid ORDER BY met DESC, doc_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 50), u AS (SELECT qid, doc_id, rank FROM r1 UNION ALL SELECT qid, doc_id, rank FROM r2), z AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL) {_ranked('z', 20)}")
 def rrf_hybrid(spark, d):
-    docs = _docs(spark, d)
-    terms = tables.search_terms(docs, "doc_id", "text", expand=False)
-    asked = tables.search_terms(_questions(spark), "qid", "question", expand=False)
-    post = retrieve.postings(terms, "doc_id")
-    one = retrieve.top(retrieve.bm25(post, asked, docs.select("doc_id"), "doc_id"), 50, "doc_id")
-    met = post.join(asked.distinct(), "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    found, asked = _asked(spark, d)
+    one = retrieve.top(retrieve.bm25_texts(found, asked, "doc_id"), 50, "doc_id")
+    met = retrieve.asked_postings(found, "doc_id").join(asked.distinct(), "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     two = retrieve.top(met, 50, "doc_id")
     return retrieve.top(retrieve.fuse([("lexical", one), ("overlap", two)], "doc_id"), 20, "doc_id").select("qid", "doc_id", "score", "rank")
 
@@ -543,8 +557,59 @@ def rerank_lexical(spark, d):
     return retrieve.rerank_lexical(found, _questions(spark), 5, "text").select("qid", "doc_id", "score", "rank")
 
 
+# ---- queries, expansion, answers ----
+_WORDY = "CASE o_orderkey % 4 WHEN 0 THEN 'Kündigungsfrist Vertrag' WHEN 1 THEN 'rechnung Rechnung Zahlung' WHEN 2 THEN 'Versicherungsbeitrag im Urlaub' ELSE 'Quark' END"
+
+
+def _wordy() -> Column:
+    k = F.col("o_orderkey") % 4
+    return F.when(k == 0, "Kündigungsfrist Vertrag").when(k == 1, "rechnung Rechnung Zahlung").when(k == 2, "Versicherungsbeitrag im Urlaub").otherwise("Quark")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Kündigungsfrist|Vertrag|Kündigung|frist|Kündigungszeitraum|Kündigungstermin|Vertragswerk|Vereinbarung'
+    WHEN 1 THEN 'rechnung|Zahlung|Rechnungsstellung|Rechnungsbetrag|Zahlungseingang|Begleichung' WHEN 2 THEN 'Versicherungsbeitrag|im|Urlaub|Versicherung|beitrag|Erholungsurlaub|Urlaubstage' ELSE 'Quark' END AS terms FROM orders"""
+)
+def expand_queries(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(tables.expanded()(_wordy()), "|").alias("terms"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Kündigung frist Vertrag' WHEN 1 THEN 'rechnung Rechnung Zahlung' WHEN 2 THEN 'Versicherung beitrag im Urlaub' ELSE 'Quark' END AS text FROM orders")
+def decompound_queries(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", tables.decompounded(_wordy()).alias("text"))
+
+
+@query(
+    """SELECT o_orderkey, cast(CASE o_orderkey % 3 WHEN 0 THEN 0.75 END AS DOUBLE) AS faithfulness, cast(CASE o_orderkey % 3 WHEN 0 THEN 1.0 END AS DOUBLE) AS relevance,
+    CASE o_orderkey % 3 WHEN 1 THEN 'no valid verdict' WHEN 2 THEN 'no JSON object' END AS error FROM orders"""
+)
+def judge_verdicts(spark, d):
+    k = F.col("o_orderkey") % 3
+    reply = F.when(k == 0, 'Gern: {"faithfulness": 0.75, "relevance": 1.0, "reason": "gedeckt"}').when(k == 1, '{"faithfulness": 0.5, "relevance": 7}').otherwise("kein Urteil")
+    v = _t(spark, d, "orders").select("o_orderkey", evaluate.verdict(reply).alias("v"))
+    return v.select("o_orderkey", F.col("v.faithfulness").alias("faithfulness"), F.col("v.relevance").alias("relevance"), F.col("v.error").alias("error"))
+
+
+@query("SELECT o_orderkey, cast(CASE o_orderkey % 2 WHEN 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS groundedness, cast(CASE o_orderkey % 2 WHEN 0 THEN 1 ELSE 0 END AS DOUBLE) AS relevance, cast(o_orderkey % 2 = 0 AS DOUBLE) AS present, cast(0 AS DOUBLE) AS coverage FROM orders")
+def answer_quality(spark, d):
+    even = F.col("o_orderkey") % 2 == 0
+    rows = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("qid"), F.lit("Quark").alias("question"), F.when(even, "Der Quark schimmelt").otherwise("").alias("answer"), F.array(F.lit("Quark liegt dort")).alias("contexts")
+    )
+    found = evaluate.answer_quality(rows)
+    return found.select(F.col("qid").alias("o_orderkey"), F.round("groundedness", 6).alias("groundedness"), "relevance", "present", "coverage")
+
+
+@query("SELECT o_orderkey, cast(count(*) AS BIGINT) AS n, min(s) AS first FROM (SELECT o_orderkey, unnest([1, 9, 22]) AS s FROM orders) GROUP BY o_orderkey")
+def context_positions(spark, d):
+    """'plz' stands at 1; 'postleitzahl' at 9, and in it nothing else; 'postfach' at 22."""
+    text = F.lit("-PLZ und Postleitzahl Postfach")
+    rows = _t(spark, d, "orders").select("o_orderkey", pii.context_positions(text, "plz").alias("p"))
+    return rows.select("o_orderkey", F.size("p").cast("long").alias("n"), F.array_min(F.transform("p", lambda x: x["start"])).alias("first"))
+
+
 # ---- evaluation, citations, store ----
-@query("""WITH r AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank, l_partkey % 5 AS src FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH r AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank, l_partkey % 5 AS src FROM lineitem),
 j AS (SELECT *, src IN (1, 2) AS rel FROM r), q AS (SELECT qid, min(CASE WHEN rel THEN rank END) AS first,
  count(DISTINCT CASE WHEN rel AND rank <= 5 THEN src END) AS h5, count(DISTINCT CASE WHEN rank <= 5 THEN src END) AS seen5, sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg5 FROM j GROUP BY 1)
 SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(h5 / 2.0), 6) AS recall_5, round(avg(CASE WHEN seen5 > 0 THEN h5 / seen5 ELSE 0 END), 6) AS precision_5, round(avg(cast(h5 > 0 AS DOUBLE)), 6) AS hit_rate_5,
