@@ -25,7 +25,7 @@ class GermanCorpus:
     @classmethod
     def from_files(cls, spark: SparkSession, path: str) -> GermanCorpus:
         """Text and Markdown files of a folder; those that cannot be decoded are left out."""
-        return cls(files.read(spark, path).where("error IS NULL"))
+        return cls(files.read(spark, path, metadata=False).where("error IS NULL"))
 
     @classmethod
     def from_texts(cls, spark: SparkSession, texts: Iterable[str], title: str | None = None) -> GermanCorpus:

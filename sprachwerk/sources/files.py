@@ -31,7 +31,7 @@ def _first_heading(x: pa.Array) -> pa.Array:
     return pa.array([title(t) for t in x.to_pylist()], pa.string())
 
 
-def documents(files: DataFrame) -> DataFrame:
+def documents(files: DataFrame, metadata: bool = True) -> DataFrame:
     """files(path, content) → doc_id, source, title, language, text, metadata, error.
 
     Content is UTF-8 or else Windows-1252; what is neither has a null text and says so in error. The
@@ -40,12 +40,15 @@ def documents(files: DataFrame) -> DataFrame:
     """
     rows = files.select("path", _decoded("content").alias("text"), F.lit(None).cast("string").alias("error"))
     marked = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"\.(md|markdown)\z")
-    told = _described(rows, F.when(marked, _first_heading("text")))
+    told = _described(rows, F.when(marked, _first_heading("text")), metadata)
     return told.withColumn("error", F.when(F.col("text").isNull(), F.lit("neither UTF-8 nor Windows-1252"))).drop("_error")
 
 
-def _described(rows: DataFrame, title: Column) -> DataFrame:
-    """rows(path, text, error) as documents, with `title` or else the file's name without its suffix."""
+def _described(rows: DataFrame, title: Column, metadata: bool = True) -> DataFrame:
+    """rows(path, text, error) as documents, with `title` or else the file's name without its suffix.
+
+    Metadata runs every recogniser; without it plans that build on the documents stay small.
+    """
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "")
     return rows.select(
         F.substring(F.sha2("path", 256), 1, 16).alias("doc_id"),
@@ -53,7 +56,7 @@ def _described(rows: DataFrame, title: Column) -> DataFrame:
         F.coalesce(title, stem).alias("title"),
         language.detect(F.col("text")).alias("language"),
         "text",
-        pii.metadata(F.col("text")).alias("metadata"),
+        *([pii.metadata(F.col("text")).alias("metadata")] if metadata else []),
         F.col("error").alias("_error"),
     )
 
@@ -84,9 +87,9 @@ def read_with(spark: SparkSession, path: str, pattern: str, load: Callable[[], C
     return told.withColumn("error", F.col("_error")).drop("_error")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, metadata: bool = True) -> DataFrame:
     """Documents of a file or of a folder with its subfolders, by suffix in small letters."""
-    return documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(path))
+    return documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(path), metadata)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
