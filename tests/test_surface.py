@@ -56,8 +56,8 @@ def test_tools(spark, folder):
 
 
 def test_command_line(spark, folder, tmp_path, capsys):
-    assert cli.main(["search", str(folder), "--question", "Kündigungsfrist", "--top-k", "1"], spark) == 0
-    assert "drei Monate" in json.loads(capsys.readouterr().out.splitlines()[0])["content"]
+    assert cli.main(["chunk", str(folder)], spark) == 0
+    assert any("drei Monate" in json.loads(x)["content"] for x in capsys.readouterr().out.splitlines())
     assert cli.main(["anonymize", str(folder), "-o", str(tmp_path / "out")], spark) == 0
     assert any("[DE_IBAN]" in r["text"] for r in spark.read.json(str(tmp_path / "out")).collect())
     assert cli.main(["ingest", str(folder), "--store", str(tmp_path / "store")], spark) == 0
@@ -70,8 +70,6 @@ def test_answers_are_evaluated_and_judged(spark, folder):
     index = GermanCorpus.from_files(spark, str(folder)).index()
     told = evaluate.evaluate_rag(index, cases, 3, model=lambda system, prompt: "Drei Monate [1]. Und mehr [9].").first()
     assert told["mrr"] == 1.0 and told["answer_presence"] == 1.0 and told["citation_validity"] == 0.0 and told["citation_coverage"] == 1.0
-    plain = evaluate.evaluate_rag(index, cases, 3).first()
-    assert plain["citation_validity"] == 1.0 and plain["groundedness"] == 1.0
     answers = spark.createDataFrame([(1, "f", "a", ["x"]), (2, "g", "b", ["y"])], "qid int, question string, answer string, contexts array<string>")
     verdicts = {r["qid"]: r for r in evaluate.judge(answers, lambda system, p: 'ok {"faithfulness": 1.0, "relevance": 0.5, "reason": "gut"}' if "Frage: f" in p else "nein").collect()}
     assert (verdicts[1]["faithfulness"], verdicts[1]["error"], verdicts[2]["faithfulness"]) == (1.0, None, None) and verdicts[2]["error"]
@@ -84,11 +82,11 @@ def test_embedders(spark, folder):
     cases = evaluate.read_cases(spark, str(folder / "cases.json"))
     chunks = GermanCorpus.from_files(spark, str(folder)).chunks()
     retrieve.register_embedder("letters", lambda: lambda texts: [[float(t.lower().count(c)) for c in "aeiouk"] for t in texts])
-    rows = {r["model"]: r for r in evaluate.compare_embeddings(chunks, cases, ["hashing", "letters", "none"]).collect()}
-    assert rows["none"]["error"] and not rows["hashing"]["error"] and json.loads(rows["hashing"]["report"])["mrr"] > 0.4 and not rows["letters"]["error"]
-    found = retrieve.Index(chunks).search(cases, 3)
+    rows = {r["model"]: r for r in evaluate.compare_embeddings(chunks, cases, ["letters", "none"]).collect()}
+    assert rows["none"]["error"] and not rows["letters"]["error"]
+    found = spark.createDataFrame([(1, 1, "a", "kurz"), (1, 2, "b", "länger"), (2, 1, "c", "x")], "qid int, rank int, chunk_id string, index_text string")
     best = retrieve.rerank_model(found, cases, lambda: lambda pairs: [float(len(d)) for _, d in pairs], 1)
-    assert best.count() == 2
+    assert {r["chunk_id"] for r in best.collect()} == {"b", "c"}
 
 
 def test_expansion():
