@@ -137,9 +137,11 @@ def test_caps_are_never_too_low():
         p = topk.choose_pivots(v, n)
         at = topk.Simplex(p).places((f * f).sum(1), np.sqrt(((f[:, None] - p[None]) ** 2).sum(2)))
         single = ((f * f).sum(1)[:, None] + (f * f).sum(1)[None]) / 2
+        # heights are raised by up to sqrt(1e-9) of the length for rounding, which loosens a cap by that share
+        slack = 7e-5 * np.sqrt((f * f).sum(1)[:, None] * (f * f).sum(1)[None]) + 1
         for row in p:
             d = np.sqrt(((f - row) ** 2).sum(1))
-            assert (at @ at.T <= single - (d[:, None] - d[None]) ** 2 / 2 + 1).all()  # no single pivot caps lower
+            assert (at @ at.T <= single - (d[:, None] - d[None]) ** 2 / 2 + slack).all()  # no single pivot caps lower
         assert (at @ at.T + 1 >= f @ f.T).all()
 
 
