@@ -112,7 +112,7 @@ def meet(q: np.ndarray, q_ids: np.ndarray, q_at: np.ndarray, floor: np.ndarray,
             cap[x_ids == q_ids[i]] = -np.inf
             least, seen = floor[i], 0
             place, scores = np.zeros(0, np.int64), np.zeros(0, kind)
-            left = np.flatnonzero(cap >= least)
+            left = np.flatnonzero((cap >= least) & (cap > -np.inf))  # a query is no candidate of its own
             batch = max(BATCH, 2 * k)
             while len(left):
                 if len(left) > batch:  # the highest caps first
