@@ -7,16 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sprachwerk.functions.bind import let
 from sprachwerk.functions.regex import java
 from sprachwerk.resources.fixed import LIGHT_SUFFIXES
 
 _SPACES = "\u00a0\u202f\u2009\u200a"
 _GONE = "\u200b\u00ad\ufeff"
+#: What most texts hold none of, so that a look for it is all they pay; in Latin-1, where a class is one table, and beyond.
+_ODD = ("[\r\u00a0\u00ad]", r"[[^\x00-\xFF]&&[\u2009-\u200B\u202F\uFEFF\uFB00-\uFB04\u0132\u0133]]")
 _LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u0132": "IJ", "\u0133": "ij"}
 _UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue"}
 _QUOTES = '„“”"«»‟″'
 #: What Python's str.strip() removes.
-_STRIP = r"[\s\x1C-\x1F\x85\u2028\u2029]"
+_STRIP = r"[\t-\r\x1C-\x20\x85\xA0[[^\x00-\xFF]&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]"
 
 
 def _swap(c: Column, pairs: dict[str, str]) -> Column:
@@ -24,19 +27,20 @@ def _swap(c: Column, pairs: dict[str, str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_STRIP}+|{_STRIP}+\z", "")
+    """Without white space at its ends. A pattern would look at each character for the end, so texts that have none are not searched."""
+    at_end = lambda x: F.substring(x, 1, 1).rlike(_STRIP) | F.substring(x, -1, 1).rlike(_STRIP)
+    return let(c, lambda x: F.when(at_end(x), F.regexp_replace(x, rf"^{_STRIP}+|{_STRIP}+\z", "")).otherwise(x))
 
 
 def unicode_form(c: Column) -> Column:
     """Line ends to \\n, odd spaces to plain ones, invisible marks gone, ligatures written out."""
-    c = F.regexp_replace(c, "\r\n?", "\n")
-    return _swap(F.translate(c, _SPACES + _GONE, " " * len(_SPACES)), _LIGATURES)
+    plain = F.regexp_replace(c, "\r\n?", "\n")
+    return F.when(c.rlike(_ODD[0]) | c.rlike(_ODD[1]), _swap(F.translate(plain, _SPACES + _GONE, " " * len(_SPACES)), _LIGATURES)).otherwise(c)
 
 
 def whitespace(c: Column) -> Column:
-    c = F.regexp_replace(c, "[ \t]+", " ")
-    c = F.regexp_replace(c, " *\n *", "\n")
-    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    c = F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" ")), "  +", " ")
+    return strip(F.regexp_replace(_swap(c, {" \n": "\n", "\n ": "\n"}), "\n\n\n+", "\n\n"))
 
 
 def quotes(c: Column) -> Column:

@@ -89,8 +89,7 @@ def chunk_text(spark: SparkSession, text: str, title: str | None = None, **optio
 def completed(text: Column) -> Column:
     """Suspended hyphens resolved; texts without one never reach Python's kernel with their content."""
     plain = tx.dashes(tx.unicode_form(text))
-    has = plain.rlike(r"-\s+(und|oder|bzw)")
-    return F.when(has, _complete(F.when(has, plain))).otherwise(plain)
+    return F.coalesce(_complete(F.when(plain.rlike(r"-\s+(und|oder|bzw)"), plain)), plain)
 
 
 def search_form(text: Column) -> Column:
