@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sprachwerk.functions import pii, regex, security, spans
+from sprachwerk.functions import pii, regex, security, spans, text
 from sprachwerk.resources import fixed
 
 PIECES = (
@@ -93,3 +93,26 @@ def test_secret_rules(spark):
     for r in spark.createDataFrame([(t,) for t, _ in SECRETS], "t string").select("t", security.secrets(F.col("t")).alias("s")).collect():
         assert [x["rule"] for x in r["s"]] == want[r["t"]]
         assert all(r["t"] not in x["masked"] for x in r["s"])
+
+
+def test_forms_are_those_of_plain_python(spark):
+    rng = random.Random(1)
+    signs = " \t\n\r\x1c\x1f\x85\xa0\u1680\u2003\u2009\u202f\u2028\u3000\u200b\xad\ufeffabß—−\ufb01\u0132.\U0001f600"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "\t a \t"]
+
+    def plain(x):
+        x = re.sub("\r\n?", "\n", x)
+        for old in "\xa0\u202f\u2009\u200a":
+            x = x.replace(old, " ")
+        for old in "\u200b\xad\ufeff":
+            x = x.replace(old, "")
+        return x.replace("\ufb01", "fi").replace("\u0132", "IJ")
+
+    def spaced(x):
+        return re.sub("\n{3,}", "\n\n", re.sub(" *\n *", "\n", re.sub("[ \t]+", " ", x))).strip()
+
+    t = F.col("text")
+    rows = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "i int, text string")
+    got = {r["i"]: tuple(r)[1:] for r in rows.select("i", text.strip(t), text.whitespace(t), text.unicode_form(t)).collect()}
+    assert got.pop(len(texts)) == (None, None, None)
+    assert got == {i: (x.strip(), spaced(x), plain(x)) for i, x in enumerate(texts)}
