@@ -36,7 +36,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, by five-word shingles at Jaccard 0.8, the document of the least doc_id, null ids last.
 
-    Null and empty texts are one group.
+    Found by op3's SimHash index, by min-hash beyond its distance; verified whole. Null and empty texts are one group.
     """
     return nearcopies.keep_one(docs)
 

@@ -1,8 +1,12 @@
-"""Near copies of documents: word shingles, min-hash bands as candidates, verified by exact Jaccard.
-
-Each distinct set of shingles is a node with 128 minima. Nodes that agree in a band of four minima
-meet in a list, where four bits of each minimum, 64 bytes a node, rule out pairs that are far below the
-line: what is left joins nodes to clusters. Two sets of similarity 0.8 share none of the 32 bands with
+"""Near copies of documents: SimHash by `simhash`, min-hash for pairs beyond its distance, verified by exact Jaccard.
+
+Each distinct set of shingles is a node with a SimHash fingerprint and 128 minima. Fingerprints go through
+the steps of `simhash`: postings of byte positions, a tally of shared bytes, the guaranteed minimum, then
+bits; components over its links are groups of nodes. At similarity 0.8 fingerprints differ in 9.7 of 64
+bits on average, more than byte positions can guarantee, so nodes that no link has joined meet by their
+minima as well: those that agree in a band of four minima meet in a list, where four bits of each minimum,
+64 bytes a node, rule out pairs that are far below the line. Groups and what is left join nodes to
+clusters. Two sets of similarity 0.8 share none of the 32 bands with
 probability 5e-8 and are ruled out by the bits with less than 1e-6. Only sets in clusters are built
 again, meet once inside their cluster and are compared whole; only pairs that reach the similarity
 are linked, so no estimate enters a class.
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sprachwerk.llm.common import discard, join_hot, written
-from sprachwerk.llm.simhash import SEED, cells, components, one_per_class, row_key
+from sprachwerk.llm.simhash import SEED, cells, components, links, majority, one_per_class, row_key
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Bits in which fingerprints of one link differ at most: three of their eight bytes are surely equal, a list has two.
+DISTANCE = 5
 BANDS, PER_BAND = 32, 4
 #: Of 128 pieces of four bits, as many as must agree; sets of similarity 0.8 agree in 104 on average.
 AGREE = 80
@@ -60,30 +66,41 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, bits, bands) of each row."""
+    """(doc_id, row, node, fp, bits, bands) of each row; fp as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bits, bands = [], [], []
+            nodes, fps, bits, bands = [], [], [], []
             for t in batch.column(2):
                 own = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
                 low = minima(own)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                fps.append(majority(own))
                 # low bits of a minimum are as good as random; high ones are all near 0
                 four = (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.uint8)
                 bits.append((four[::2] | four[1::2] << 4).tobytes())
                 bands.append([xxhash.xxh64_intdigest(low[i : i + PER_BAND].tobytes(), i) for i in range(0, len(low), PER_BAND)])
             flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), lists], names=["doc_id", "row", "node", "bits", "bands"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(bits, pa.binary()), lists], names=["doc_id", "row", "node", "fp", "bits", "bands"])
 
     rows = docs.select("doc_id", row_key().alias("row"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, row long, node long, bits binary, bands array<long>")
+    return rows.mapInArrow(each, "doc_id long, row long, node long, fp long, bits binary, bands array<long>")
+
+
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp, …), a table, with `group`: equal for nodes that are reachable over fingerprints of DISTANCE bits or fewer."""
+    fps = written(nodes.select("fp").distinct(), "fingerprints")
+    root = components(links(fps, DISTANCE))
+    discard(fps)
+    found = join_hot(nodes, root.select(F.col("node").alias("fp"), "root"), ["fp"], "left")
+    return found.withColumn("group", F.coalesce("root", "fp")).drop("root")
 
 
-def _linked(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links between n rows whose closure is that of all near pairs; pairs joined already are not compared."""
-    own = np.arange(n)
+def _linked(own: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows that, with what equal `own` joins at first, reach as far as all near pairs; pairs joined already are not compared."""
+    n, own = len(own), own.copy()
     out = []
     for i in range(n - 1):
         rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
@@ -98,20 +115,20 @@ def _linked(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
     return out
 
 
-def _compared(dealt: DataFrame, value: str, near_in: Callable[[pa.Array], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """(u, v) of the near rows in each cell."""
+def _compared(dealt: DataFrame, value: str, near_in: Callable[[pa.Array], Callable[[int, np.ndarray], np.ndarray]], known: str = "node") -> DataFrame:
+    """(u, v) of the near rows in each cell; rows that are equal in `known` count as joined."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def told(rows: pa.Table) -> pa.RecordBatch:
-            cell, node = rows["cell"].to_numpy(), rows["node"].to_numpy()
+            cell, node, joined = (rows[c].to_numpy() for c in ("cell", "node", "joined"))
             values = rows[value].combine_chunks()
             edge = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
             pairs = set()
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a > 1:
-                    pairs |= {(int(node[a + i]), int(node[a + j])) for i, j in _linked(b - a, near_in(values.slice(a, b - a)))}
+                    pairs |= {(int(node[a + i]), int(node[a + j])) for i, j in _linked(joined[a:b], near_in(values.slice(a, b - a)))}
             both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
@@ -128,7 +145,7 @@ def _compared(dealt: DataFrame, value: str, near_in: Callable[[pa.Array], Callab
         if rest is not None and rest.num_rows:
             yield told(rest)
 
-    dealt = dealt.select("cell", "node", value).repartition("cell").sortWithinPartitions("cell", "node")
+    dealt = dealt.select("cell", "node", value, F.col(known).alias("joined")).repartition("cell").sortWithinPartitions("cell", "node")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
@@ -177,14 +194,19 @@ def row_classes(docs: DataFrame) -> DataFrame:
     of one shingle set share a node. Other columns are left out; an empty table gives no rows.
     """
     rows = written(_sketches(docs), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands")), "sketch-nodes")
-    listed = nodes.select("node", "bits", F.explode("bands").alias("band"))
-    joined = components(_compared(cells(listed, "band", LIST, "node"), "bits", _near_bits))
+    nodes = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "bits", "bands")]), "sketch-nodes")
+    grouped = written(simhash_groups(nodes), "sketch-groups")
+    discard(nodes)
+    least = grouped.groupBy("group").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    by_bits = join_hot(grouped.select("node", "group"), least, ["group"]).select(F.col("node").alias("u"), "v")
+    listed = grouped.select("node", "group", "bits", F.explode("bands").alias("band"))
+    by_minima = _compared(cells(listed, "band", LIST, "node"), "bits", _near_bits, "group")
+    joined = components(by_bits.union(by_minima))
+    discard(grouped)
     clusters = joined.select("node", F.col("root").alias("cluster")).union(joined.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     # one row of each node in a cluster gives its set
     stands = join_hot(rows.select("doc_id", "row", "node"), clusters, ["node"]).groupBy("node", "cluster").agg(F.min(F.struct("row", "doc_id")).alias("s"))
     stands = stands.select("node", "cluster", F.col("s.row").alias("row"), F.col("s.doc_id").alias("doc_id"))
-    discard(nodes)
     texts = docs.select("doc_id", "text", row_key().alias("row"))
     texts = join_hot(texts, stands, ["row", "doc_id"]).select("cluster", "node", "text")
     sets = written(_sets(texts).dropDuplicates(["node"]), "shingle-sets")

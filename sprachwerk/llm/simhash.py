@@ -37,6 +37,14 @@ SHORT_SETS = 1 << 30
 SEED = 42
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text, unsigned."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII spaces
@@ -51,10 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(length + 1) - 1
     starts = (ends - length)[: n - shingle + 1].tolist()
     h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
