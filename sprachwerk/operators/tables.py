@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,25 @@ _SECTION = pa.list_(pa.struct([("ord", pa.int32()), ("parent_ord", pa.int32()),
 _CHUNK = pa.list_(pa.struct([("content", pa.string()), ("section", pa.string()), ("section_path", pa.list_(pa.string())), ("absatz", pa.string()), ("paragraphs", pa.int32())]))
 
 
-def _each(x: pa.Array, of, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if t is None else of(t) for t in x.to_pylist()], kind)
+#: Characters of text whose results a worker holds as Python's objects at once, many times the size of Arrow's.
+SLICE = 1 << 18
+
+
+def sliced(x: pa.Array, of: Callable, kind: pa.DataType, *more: pa.Array) -> pa.Array:
+    """of(value, …) of each row. Rows become Python's objects and Arrow's again a slice at a time, so a worker's memory is that of Arrow's batch."""
+    done, rows, held = [], [], 0
+    for values in zip(x, *more, strict=True):
+        own = [v.as_py() for v in values]
+        rows.append(of(*own))
+        held += len(own[0] or "")
+        if held >= SLICE:
+            done.append(pa.array(rows, kind))
+            rows, held = [], 0
+    return pa.concat_arrays([*done, pa.array(rows, kind)])
+
+
+def _each(x: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    return sliced(x, lambda t: None if t is None else of(t), kind)
 
 
 @F.arrow_udf(SENTENCES)
@@ -36,6 +55,12 @@ def sentences(x: pa.Array) -> pa.Array:
     return _each(x, lambda t: [{"text": s, "start": a, "end": b} for s, a, b in kernels.sentences(t)], _SPAN)
 
 
+@F.arrow_udf(_I)
+def sentence_count(x: pa.Array) -> pa.Array:
+    """How many sentences a text has; none is kept, so only numbers go back."""
+    return _each(x, lambda t: len(kernels.sentences(t)), pa.int32())
+
+
 @F.arrow_udf(SECTIONS)
 def sections(x: pa.Array) -> pa.Array:
     return _each(x, kernels.sections, _SECTION)
@@ -96,10 +121,11 @@ def search_form(text: Column) -> Column:
     return tx.search_form(text, completed(text))
 
 
-def chunk(docs: DataFrame, strategy: str = "structural", max_tokens: int = 512, overlap: int = 64) -> DataFrame:
+def chunk(docs: DataFrame, strategy: str = "structural", max_tokens: int = 512, overlap: int = 64, keep: Iterable[str] = ()) -> DataFrame:
     """docs(doc_id, text[, title, source, …]) → chunk_id, doc_id, ordinal, content, section, … one row a chunk.
 
-    Null and blank texts give no chunk. chunk_id depends on doc_id and ordinal alone.
+    Null and blank texts give no chunk. chunk_id depends on doc_id and ordinal alone. keep names columns of
+    docs that are told with each chunk.
     """
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
@@ -110,12 +136,11 @@ def chunk(docs: DataFrame, strategy: str = "structural", max_tokens: int = 512,
 
     @F.arrow_udf(CHUNKS)
     def cut(x: pa.Array, title: pa.Array) -> pa.Array:
-        rows = [kernels.chunks(t or "", n, strategy, max_tokens, overlap) for t, n in zip(x.to_pylist(), title.to_pylist(), strict=True)]
-        return pa.array(rows, _CHUNK)
+        return sliced(x, lambda t, n: kernels.chunks(t or "", n, strategy, max_tokens, overlap), _CHUNK, title)
 
     title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
     name = document_name(docs)
-    rows = docs.select("doc_id", name.alias("document"), F.posexplode(cut(F.coalesce("text", F.lit("")), title)).alias("ordinal", "c"))
+    rows = docs.select("doc_id", *keep, name.alias("document"), F.posexplode(cut(F.coalesce("text", F.lit("")), title)).alias("ordinal", "c"))
     key = F.substring(F.sha2(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("ordinal").cast("string")), 256), 1, 16)
     return rows.select(
         F.concat(F.lit("chk_"), key).alias("chunk_id"),
@@ -129,6 +154,7 @@ def chunk(docs: DataFrame, strategy: str = "structural", max_tokens: int = 512,
         "document",
         "c.paragraphs",
         F.concat_ws("\n", F.nullif(F.col("c.section"), F.lit("")), F.col("c.content")).alias("index_text"),
+        *keep,
     )
 
 

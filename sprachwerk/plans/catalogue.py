@@ -206,7 +206,7 @@ def sections_of_documents(spark, d):
 
 @query()
 def sentence_counts(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(tables.sentences("text")).alias("n_sentences"))
+    return _docs(spark, d).select("doc_id", tables.sentence_count("text").alias("n_sentences"))
 
 
 @query()
@@ -495,7 +495,7 @@ def _ranked(x: str, k: int) -> str:
 def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What each document has of the questions' terms, and these terms."""
     asked = tables.search_terms(_questions(spark), "qid", "question", expand=False)
-    return retrieve.asked_terms(_docs(spark, d), asked, tables.search_tokens(F.col("text")), "doc_id"), asked
+    return retrieve.asked_terms(_docs(spark, d), asked, "text", "doc_id"), asked
 
 
 def _scored(spark: SparkSession, d: str, conjunctive: bool = False) -> DataFrame:
@@ -538,7 +538,7 @@ def rrf_hybrid(spark, d):
 
 
 def _index(spark: SparkSession, d: str) -> retrieve.Index:
-    return retrieve.Index(tables.chunk(_docs(spark, d), max_tokens=512))
+    return retrieve.Index.of(_docs(spark, d), max_tokens=512)
 
 
 @query()
