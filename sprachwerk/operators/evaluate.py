@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sprachwerk.operators import rag, retrieve, tables
+from sprachwerk import resources
+from sprachwerk.operators import kernels, rag, retrieve, tables
 
 KS = (1, 5, 10)
 
@@ -21,24 +23,33 @@ def relevance(results: DataFrame, qrels: DataFrame) -> DataFrame:
 
     identity is 'document#section' in small letters; an expectation without # meets any section.
     """
-    wanted = qrels.select("qid", "ord", F.lower(F.trim("source")).alias("source"))
-    keyed = results.withColumn("_file", F.substring_index("identity", "#", 1))
-    full = keyed.join(wanted.withColumnRenamed("source", "_s"), (keyed["qid"] == wanted["qid"]) & (keyed["identity"] == F.col("_s"))).select(keyed["qid"], "rank", "ord", "_s")
-    bare = keyed.join(wanted.where(~F.col("source").contains("#")).withColumnRenamed("source", "_s"), (keyed["qid"] == wanted["qid"]) & (keyed["_file"] == F.col("_s"))).select(keyed["qid"], "rank", "ord", "_s")
-    met = full.union(bare).groupBy("qid", "rank").agg(F.min_by("_s", "ord").alias("source"))
-    return results.join(met, ["qid", "rank"], "left")
+    return _judged(results.join(_expected(qrels), "qid", "left")).drop("_wanted")
+
+
+def _expected(qrels: DataFrame) -> DataFrame:
+    """(qid, _wanted): each question's expectations as one list in their order."""
+    return qrels.select("qid", F.struct("ord", F.lower(F.trim("source")).alias("source")).alias("w")).groupBy("qid").agg(F.sort_array(F.collect_list("w")).alias("_wanted"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Results beside `_wanted` with `source`. A question has a few expectations, so they are one list, and results are moved once, by qid."""
+    file = F.substring_index("identity", "#", 1)
+    meets = lambda w: (w["source"] == F.col("identity")) | (~w["source"].contains("#") & (w["source"] == file))
+    return rows.withColumn("source", F.get(F.filter("_wanted", meets), F.lit(0))["source"])
 
 
 def per_question(results: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """Per question: recall, precision, hit rate and nDCG at each k, and the reciprocal rank."""
-    judged = relevance(results, qrels)
-    n = qrels.groupBy("qid").agg(F.count_distinct(F.lower(F.trim("source"))).alias("n_relevant"))
+    sources = F.array_distinct(F.filter(F.transform("_wanted", lambda w: w["source"]), lambda s: s.isNotNull()))
+    expected = _expected(qrels).withColumn("n_relevant", F.size(sources))
+    judged = _judged(expected.join(results, "qid", "left"))
     gain = F.when(F.col("source").isNotNull(), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
     aggs = [F.min(F.when(F.col("source").isNotNull(), F.col("rank"))).alias("first")]
     for k in ks:
         top = F.col("rank") <= k
-        aggs += [F.count_distinct(F.when(top, F.col("source"))).alias(f"hits_{k}"), F.count_distinct(F.when(top, F.col("identity"))).alias(f"seen_{k}"), F.sum(F.when(top, gain).otherwise(0.0)).alias(f"dcg_{k}")]
-    rows = n.join(judged.groupBy("qid").agg(*aggs), "qid", "left")
+        # sets of at most k; distinct counts would move each row once more for each of them
+        aggs += [F.size(F.collect_set(F.when(top, F.col("source")))).alias(f"hits_{k}"), F.size(F.collect_set(F.when(top, F.col("identity")))).alias(f"seen_{k}"), F.sum(F.when(top, gain).otherwise(0.0)).alias(f"dcg_{k}")]
+    rows = judged.groupBy("qid", "n_relevant").agg(*aggs)
     out = [F.col("qid"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), F.col("first").isNull().alias("unanswered")]
     for k in ks:
         hits = F.coalesce(F.col(f"hits_{k}"), F.lit(0))
@@ -101,10 +112,32 @@ def identity(document: Column, section: Column) -> Column:
 
 
 # ---- answers ----
-def _terms_of(rows: DataFrame, text: str) -> DataFrame:
-    """(qid, terms): distinct content terms of a text column."""
-    terms = tables.content_terms(tables.search_terms(rows, "qid", text))
-    return terms.groupBy("qid").agg(F.collect_set("term").alias("terms"))
+_SHARES = T.StructType([T.StructField("groundedness", T.DoubleType()), T.StructField("relevance", T.DoubleType())])
+
+
+def _share(of: frozenset[str], within: frozenset[str]) -> float:
+    return len(of & within) / len(of) if of else 0.0
+
+
+def _shares():
+    """A function of question, answer and context: groundedness and relevance, see `answer_quality`."""
+    stop = frozenset(kernels.fold(w) for w in resources.lines("stopwords.txt"))
+    kept = kernels.Kept(lambda word: frozenset(kernels.grown(word)) - stop)
+
+    def terms(text: str | None) -> frozenset[str]:
+        return frozenset().union(*(kept[w] for w in dict.fromkeys(kernels.search_words(text))))
+
+    @F.arrow_udf(_SHARES)
+    def run(question: pa.Array, answer: pa.Array, context: pa.Array) -> pa.Array:
+        q, a, c = (map(terms, x) for x in (_plain(question), _plain(answer), _plain(context)))
+        both = [(_share(a, c), _share(q, a)) for q, a, c in zip(q, a, c, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in both], pa.float64()) for i in (0, 1)], names=["groundedness", "relevance"])
+
+    return run
+
+
+def _plain(x: pa.Array) -> Iterable[str | None]:
+    return (v.as_py() for v in x)
 
 
 def answer_quality(answers: DataFrame) -> DataFrame:
@@ -112,13 +145,12 @@ def answer_quality(answers: DataFrame) -> DataFrame:
 
     Groundedness is the share of the answer's content terms that its contexts hold, relevance that of the
     question's terms which the answer holds; no terms give 0. Coverage is the share of sentences with a source.
+    Each row is told from itself: no term leaves its row.
     """
     joined = answers.select("qid", "question", F.coalesce("answer", F.lit("")).alias("answer"), F.array_join("contexts", "\n").alias("context"))
-    own = joined.select("qid", (F.trim("answer") != "").cast("double").alias("present"), rag.citation_coverage(F.col("answer")).alias("coverage"))
-    none = F.expr("cast(array() as array<string>)")
-    for name in ("question", "answer", "context"):
-        own = own.join(_terms_of(joined, name).withColumnRenamed("terms", f"_{name}"), "qid", "left").withColumn(f"_{name}", F.coalesce(f"_{name}", none))
-    return own.select("qid", "present", rag.overlap_share(F.col("_answer"), F.col("_context")).alias("groundedness"), rag.overlap_share(F.col("_question"), F.col("_answer")).alias("relevance"), "coverage")
+    shares = _shares()("question", "answer", "context")
+    own = joined.select("qid", (F.trim("answer") != "").cast("double").alias("present"), shares.alias("s"), rag.citation_coverage(F.col("answer")).alias("coverage"))
+    return own.select("qid", "present", "s.groundedness", "s.relevance", "coverage")
 
 
 def evaluate_retriever(index: retrieve.Index, questions: DataFrame, top_k: int = 10, ks: tuple[int, ...] = KS) -> DataFrame:

@@ -615,7 +615,10 @@ j AS (SELECT *, src IN (1, 2) AS rel FROM r), q AS (SELECT qid, min(CASE WHEN re
 SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(h5 / 2.0), 6) AS recall_5, round(avg(CASE WHEN seen5 > 0 THEN h5 / seen5 ELSE 0 END), 6) AS precision_5, round(avg(cast(h5 > 0 AS DOUBLE)), 6) AS hit_rate_5,
  round(avg(dcg5 / (1 + 1 / log2(3))), 6) AS ndcg_5, cast(sum(cast(first IS NULL AS INTEGER)) AS BIGINT) AS unanswered FROM q""")
 def eval_metrics(spark, d):
-    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("rank"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("identity"))
+    # dealt by qid under that name, which the steps that follow then need not do again
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", "l_partkey")
+    ranked = lines.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("l_linenumber", "l_partkey")))
+    rows = ranked.select("qid", "rank", F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("identity"))
     qrels = rows.select("qid").distinct().select("qid", F.posexplode(F.array(F.lit("s1"), F.lit("s2"))).alias("ord", "source"))
     return evaluate.report(evaluate.per_question(rows, qrels, (5,)))
 
