@@ -553,7 +553,8 @@ def rag_extractive(spark, d):
 
 @query(f"{_BM25}, r AS ({_ranked('m', 20)}), w AS (SELECT DISTINCT qid, term FROM a), n AS (SELECT qid, count(*) AS n FROM w GROUP BY 1), c AS (SELECT r.qid, r.doc_id, r.rank, count(p.term) AS met FROM r JOIN w ON r.qid = w.qid LEFT JOIN p ON p.doc_id = r.doc_id AND p.term = w.term GROUP BY ALL), q(qid, question) AS (VALUES {', '.join(f'({q}, {chr(39)}{t}{chr(39)})' for q, t in QUESTIONS)}), z AS (SELECT qid, c.doc_id, c.rank AS prior, round(met / n + CASE WHEN contains(lower(text), question) THEN 0.5 ELSE 0 END, 6) AS score FROM c JOIN n USING (qid) JOIN q USING (qid) JOIN documents d ON d.doc_id = c.doc_id) SELECT qid, doc_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior) AS INTEGER) AS rank FROM z QUALIFY rank <= 5")
 def rerank_lexical(spark, d):
-    found = retrieve.top(_scored(spark, d), 20, "doc_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    # twenty rows a question travel to the texts, not all texts to them
+    found = F.broadcast(retrieve.top(_scored(spark, d), 20, "doc_id")).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return retrieve.rerank_lexical(found, _questions(spark), 5, "text").select("qid", "doc_id", "score", "rank")
 
 
